@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import storage, textkit
+from lexigrain.llm import members, storage, textkit
 
 SHINGLE = 3
 THRESHOLD = 0.6
-ROWS = 6
-BANDS = 64
+ROWS = 7
+BANDS = 80
 REGISTERS = ROWS * BANDS
 BASE = 1.001
 RATE = 20.0
@@ -121,13 +121,15 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in textkit.slices(batch):
-            sets = textkit.shingle_sets(textkit.words(part.column("text")), SHINGLE)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("component"), part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["component", "doc_id", "shingles"]
-            )
+def _shingles(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(members.may_hold(wanted.value, batch.column("doc_id"))))
+            for part in textkit.slices(batch):
+                sets = textkit.shingle_sets(textkit.words(part.column("text")), SHINGLE)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+
+    return run
 
 
 def _verified(group: pd.DataFrame) -> pd.DataFrame:
@@ -183,22 +185,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id) of every document that isn't its group's first: ``keep_id`` is the one that stays."""
-    spark: SparkSession = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sketched = storage.written(texts.mapInArrow(_sketches, "doc_id long, size long, digest binary, sketch binary"), "sketches")
     lowest = sketched.groupBy("digest", "size").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
     exact = storage.written(sketched.select("doc_id", "digest", "size").join(lowest, ["digest", "size"]).where("doc_id <> keep_id").select("doc_id", "keep_id").distinct(), "copies")
-    bands = sketched.join(exact.select("doc_id"), "doc_id", "left_anti").select("doc_id", "sketch").mapInArrow(_bands, "band long, doc_id long")
+    # Copies take no part in the search.
+    slim = sketched.select("doc_id", "size", "sketch")
+    bands = members.without(slim, exact).select("doc_id", "sketch").mapInArrow(_bands, "band long, doc_id long")
     pairs = storage.written(
         bands.select("band", F.col("doc_id").alias("a")).join(bands.select("band", F.col("doc_id").alias("b")), "band").where("a < b").select("a", "b").distinct(), "pairs"
     )
-    paired = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    heads = storage.written(sketched.join(paired, "doc_id", "left_semi").select("doc_id", "size", "sketch"), "heads")
-    storage.drop(spark, sketched.lexigrain_path)
-    side = lambda x: heads.select(F.col("doc_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
+    paired = context.broadcast(members.of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+    heads = slim.mapInArrow(members.filtered(paired), slim.schema)
+    side = lambda x: heads.select(F.col("doc_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")).hint("merge")
     likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near, "a long, b long")
     found = storage.written(components(likely), "components")
-    sets = texts.join(found, "doc_id").select("component", "doc_id", "text").mapInArrow(_shingles, "component long, doc_id long, shingles binary")
+    wanted = context.broadcast(members.of(found.select("doc_id")))
+    sets = texts.mapInArrow(_shingles(wanted), "doc_id long, shingles binary").join(found.hint("merge"), "doc_id").select("component", "doc_id", "shingles")
     near = storage.written(sets.groupBy("component").applyInPandas(_verified, "doc_id long, group_id long").where("doc_id <> group_id"), "near")
     moved = exact.join(near.select(F.col("doc_id").alias("keep_id"), "group_id"), "keep_id", "left").select("doc_id", F.coalesce("group_id", "keep_id").alias("keep_id"))
     return moved.unionByName(near.select("doc_id", F.col("group_id").alias("keep_id"))).distinct()
@@ -206,4 +210,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents without those that ``near_duplicates`` replaces by another; rows with a null id stay."""
-    return docs.join(near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return members.without(docs, storage.written(near_duplicates(docs).select("doc_id"), "removed"))
