@@ -98,12 +98,17 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _cut(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, for steps that widen each row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weights = textkit.mix64(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
-    for batch in batches:
+    for batch in _cut(batches):
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        if not len(ids):
-            continue
         values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(len(ids), BANDS, ROWS)
         keys = textkit.mix64((values.astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(ids, BANDS))], names=["band", "doc_id"])
@@ -111,9 +116,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     margin = SLACK * np.sqrt(THRESHOLD * (1 - THRESHOLD) / REGISTERS)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _cut(batches):
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("a_sketch", "b_sketch"))
         greater, smaller = (a > b).sum(axis=1), (a < b).sum(axis=1)
         sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("a_size", "b_size")]
