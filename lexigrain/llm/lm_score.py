@@ -39,9 +39,9 @@ CLASSES = 64
 OWN_ROWS = 2048
 SHARED_ROWS = 512
 ROUNDS = 3
-TRAIN_SHARE = 0.06
+TRAIN_SHARE = 0.3
 LEARNING_RATE = 0.02
-BATCH = 256
+BATCH = 64
 #: Windows scored at once: their attention fits a core's cache.
 SCORE_BATCH = 64
 _ROWS = OWN_ROWS + SHARED_ROWS + 1
@@ -260,9 +260,8 @@ def fit(encoded: DataFrame, size: int) -> tuple[np.ndarray, Vocabulary] | None:
     vocabulary, flat = Vocabulary.of(counts), initial()
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     for r in range(ROUNDS):
-        # Each round takes its own third of the sample. A corpus too small for a share trains on all of it.
-        share = TRAIN_SHARE / ROUNDS if counts.sum() * TRAIN_SHARE > 2_000_000 else 1.0
-        low = int(r * share * 1_000_000) if share < 1 else 0
+        # Each round takes its own part of the sample.
+        low, high = (round(k * TRAIN_SHARE / ROUNDS * 1_000_000) for k in (r, r + 1))
         shared = context.broadcast((flat, vocabulary, LEARNING_RATE / (1 + r)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -271,7 +270,7 @@ def fit(encoded: DataFrame, size: int) -> tuple[np.ndarray, Vocabulary] | None:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(new.astype(np.float64) * seen), pa.array(np.full(SIZE, seen, np.int64))], names=["k", "x", "n"])
 
-        sample = encoded.where((bucket >= low) & (bucket < low + int(share * 1_000_000)))
+        sample = encoded.where((bucket >= low) & (bucket < high))
         means = sample.mapInArrow(run, "k int, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
         for m in means:
             flat[m["k"]] = m["x"]
