@@ -34,6 +34,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _KINDS = {"img": "image", "image": "image", "video": "video", "audio": "audio", "source": None, "embed": "embed", "object": "embed", "iframe": "embed"}
+_MEDIA = "(?i)<(?:" + "|".join(_KINDS) + r")\b"
 _SPACE = re.compile(r"\s+")
 
 ITEM = "struct<position:int,kind:string,text:string,src:string,alt:string,caption:string,digest:string>"
@@ -152,23 +153,28 @@ def sequences(pages: DataFrame, key: str = "page_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(key), part.column("url"), pa.array(items, _ARROW)], names=[key, "url", "items"])
 
     rows = pages.select(F.col(key).cast("long").alias(key), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, f"{key} long, url string, items array<{ITEM}>").withColumn("row", F.xxhash64(key, "url", "items"))
+    parsed = rows.mapInArrow(run, f"{key} long, url string, items array<{ITEM}>")
+    return parsed.withColumn("row", F.xxhash64(key, "url", "items")).withColumn("row2", F.xxhash64("items", "url", key, F.lit(1)))
 
 
-def resolve(found: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
-    """Adds ``payload`` and ``mime`` to every item, by digest."""
+def resolve(found: DataFrame, media: DataFrame) -> DataFrame:
+    """Adds ``payload`` and ``mime`` to every item, by digest. Pages and their references meet by a 128-bit row key."""
     stored = media.where("digest is not null").groupBy("digest").agg(F.min(F.struct("payload", "mime")).alias("x")).select("digest", "x.payload", "x.mime")
-    wanted = found.where(F.exists("items", lambda x: x["digest"].isNotNull())).select(key, "row", F.explode("items").alias("x")).where("x.digest is not null")
-    wanted = wanted.select(key, "row", F.col("x.position").alias("position"), F.col("x.digest").alias("digest"))
-    got = wanted.join(stored, "digest").select(key, "row", "position", "payload", "mime").distinct().groupBy(key, "row").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("payload", "mime")))).alias("payloads"))
-    joined = found.alias("f").join(got.alias("g"), (F.col(f"f.{key}").eqNullSafe(F.col(f"g.{key}"))) & (F.col("f.row") == F.col("g.row")), "left").select(*[F.col(f"f.{c}") for c in found.columns], "payloads")
+    wanted = found.where(F.exists("items", lambda x: x["digest"].isNotNull())).select("row", "row2", F.explode("items").alias("x")).where("x.digest is not null")
+    wanted = wanted.select("row", "row2", F.col("x.position").alias("position"), F.col("x.digest").alias("digest")).distinct()
+    got = wanted.join(stored.hint("merge"), "digest").groupBy("row", "row2").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("payload", "mime")))).alias("payloads"))
     at = lambda x, field: F.element_at("payloads", x["position"])[field]
-    return joined.withColumn("items", F.transform("items", lambda x: x.withField("payload", at(x, "payload")).withField("mime", at(x, "mime")))).drop("payloads")
+    return found.join(got.hint("merge"), ["row", "row2"], "left").withColumn("items", F.transform("items", lambda x: x.withField("payload", at(x, "payload")).withField("mime", at(x, "mime")))).drop("payloads")
 
 
 def interleaved(pages: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, url, n_text, n_media, n_resolved, items) of every page."""
-    done = resolve(sequences(pages, key), media, key)
+    # Only pages whose markup has a media element at all take part in the exchange.
+    some = F.coalesce(F.col("html").cast("string").rlike(_MEDIA), F.lit(False))
+    done = resolve(sequences(pages.where(some), key), media)
+    payload, mime = (media.schema[c].dataType for c in ("payload", "mime"))
+    plain = sequences(pages.where(~some), key).withColumn("items", F.transform("items", lambda x: x.withField("payload", F.lit(None).cast(payload)).withField("mime", F.lit(None).cast(mime))))
+    done = done.unionByName(plain)
     count = lambda f: F.size(F.filter("items", f))
     return done.select(
         key, "url", count(lambda x: x["kind"] == "text").alias("n_text"), count(lambda x: x["kind"] != "text").alias("n_media"), count(lambda x: x["payload"].isNotNull()).alias("n_resolved"), "items"
