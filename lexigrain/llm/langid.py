@@ -35,6 +35,8 @@ PIECES_PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 32
 PIECE_BYTES = 2048
 RIDGE = 1e-2
+#: Text whose presence matrix is held at once.
+SLICE_BYTES = 1 << 18
 MIN_SCORE = -0.5
 MIN_KNOWN = 0.25
 
@@ -170,7 +172,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textkit.slices(batch):
+            for part in textkit.slices(batch, limit=SLICE_BYTES):
                 language, score, known, accepted = classify(shared.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(language, pa.string()), pa.array(score, pa.float64(), from_pandas=True), pa.array(known, pa.float64()), pa.array(accepted)],
@@ -187,7 +189,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textkit.slices(batch):
+            for part in textkit.slices(batch, limit=SLICE_BYTES):
                 yield part.filter(pa.array(classify(shared.value, part.column("text"))[3]))
 
     return docs.mapInArrow(run, docs.schema)

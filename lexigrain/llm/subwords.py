@@ -14,7 +14,7 @@ import pyarrow as pa
 from lexigrain.llm import textkit
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO_WORDS = 1 << 21
+MEMO_WORDS = 1 << 20
 
 _encoders: dict[str, "Encoder"] = {}
 

@@ -7,6 +7,7 @@ of a polynomial over their bytes, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BYTES = np.array(
     [chr(b).isalnum() if b < 128 else True for b in range(256)], dtype=bool
@@ -66,6 +67,16 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def release() -> None:
+    """Gives memory that arrays no longer use back to the system; workers live long and share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch at rows so that a slice holds at most about ``limit`` bytes of text; a longer text is a slice of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -76,6 +87,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         end = max(begin + 1, int(np.searchsorted(total, done + limit, "right")))
         yield batch.slice(begin, end - begin)
         begin = end
+    release()
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
