@@ -38,7 +38,8 @@ class Case:
 
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         result = self.operator(*[F.col(n) for n in self.names]).cast(self.returns)
-        return self.frame(spark).select("case_id", *[F.col(n).cast("string").alias(n) if not t.startswith("array") else F.array_join(n, "|", "").alias(n) for n, t in zip(self.names, self.inputs)], result.alias("result"))
+        done = self.frame(spark).withColumn("result", result)
+        return done.select("case_id", *[F.col(n).cast("string").alias(n) if not t.startswith("array") else F.array_join(n, "|", "").alias(n) for n, t in zip(self.names, self.inputs)], F.col("result"))
 
     def sql(self) -> str:
         show = lambda v: "|".join("" if x is None else x for x in v) if isinstance(v, (list, tuple)) else str(v).lower() if isinstance(v, bool) else v if v is None else str(v)
