@@ -8,6 +8,7 @@ from functools import lru_cache
 STRIP, SQUASH, CASEFOLD, NFC, NFKC, NFKD, NAME = 1, 2, 4, 8, 16, 32, 64
 _SKIP = set(".'‘’ʼʹ`´")
 _KEEP = set("ーｰ々")
+_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in "\x1c\x1d\x1e\x1f")
 _SPACES = set("\x1c\x1d\x1e\x1f")
 _INVISIBLE = set("​‌‍﻿­⁠⁡⁢⁣⁤")
 _GAP = {"Zs", "Zl", "Zp", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "So"}
@@ -46,7 +47,7 @@ def address_tokens(text: str) -> list[str]:
 @lru_cache(1 << 16)
 def normalize(text: str, flags: int = 0, cleanup: int = 0) -> str | None:
     if flags & STRIP:
-        text = text.strip()
+        text = text.strip(_WHITE)
     form = "NFKD" if flags & NFKD else "NFKC" if flags & NFKC else "NFC" if flags & NFC else None
     if form:
         text = unicodedata.normalize(form, text)

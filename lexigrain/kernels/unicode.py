@@ -64,9 +64,7 @@ def should_ascii(text: str) -> bool:
 
 @cache
 def _fallback() -> dict[int, str]:
-    # Letters without a decomposition, and the marks that transforms put for soft and hard signs.
-    out = {ord("ə"): "a", ord("Ə"): "A", 0x242: "", 0x245: "V", 0x24A: "Q", 0x24B: "q", 0x1E9F: "d", 0x2BA: '"'}
-    return out | {c: "'" for c in (0x2B9, 0x2BB, 0x2BC, 0x2BD, 0x2BE, 0x2BF, 0x2C8)}
+    return {ord(r["char"]): r["ascii"] for r in refdata.rows("fallback")}
 
 
 @lru_cache(1 << 16)

@@ -1,6 +1,6 @@
 """Builds the packaged reference tables from a folder of public YAML and TSV sources.
 
-    python tools/build_refdata.py SOURCE
+    python tools/build_refdata.py SOURCE FORMATS [FALLBACK]
 
 SOURCE holds names/, text/, territories/, langs/ and addresses/ with the tables' sources, and formats.yml
 of the address templates in a package's data/addresses folder. Run once; the library only reads the Parquet files that this writes.
@@ -11,6 +11,7 @@ from __future__ import annotations
 import ast
 import csv
 import json
+import re
 import sys
 import unicodedata
 from pathlib import Path
@@ -80,6 +81,13 @@ def code_tables(package: Path) -> None:
     write("mime_replace", pairs(constants(package / "mime" / "mappings.py", types)["REPLACE"]))
 
 
+def fallback(path: Path) -> None:
+    """Letters that no transform makes ASCII: pairs ('c', "text") of a source file."""
+    pairs = re.findall(r"""\('(\\u\{[0-9A-Fa-f]+\}|[^'])',\s*"((?:[^"\\]|\\.)*)"\)""", path.read_text("utf-8"))
+    char = lambda x: chr(int(x[3:-1], 16)) if x.startswith("\\u{") else x
+    write("fallback", [{"char": char(a), "ascii": b.replace('\\"', '"')} for a, b in pairs])
+
+
 def main(source: Path, formats: Path, forms: Path) -> None:
     rows = []
     for path in sorted((source / "territories").glob("*.yml")):
@@ -137,5 +145,7 @@ def main(source: Path, formats: Path, forms: Path) -> None:
 
 
 if __name__ == "__main__":
+    if len(sys.argv) > 3:
+        fallback(Path(sys.argv[3]))
     code_tables(Path(sys.argv[2]).parents[2])
     main(Path(sys.argv[1]), Path(sys.argv[2]), Path(sys.argv[1]) / "addresses" / "forms.yml")
