@@ -188,7 +188,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id) of every document that isn't its group's first: ``keep_id`` is the one that stays."""
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    context = spark.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sketched = storage.written(texts.mapInArrow(_sketches, "doc_id long, size long, digest binary, sketch binary"), "sketches")
     lowest = sketched.groupBy("digest", "size").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
@@ -204,6 +205,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     side = lambda x: heads.select(F.col("doc_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")).hint("merge")
     likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near, "a long, b long")
     found = storage.written(components(likely), "components")
+    storage.drop(spark, sketched.lexigrain_path)
+    storage.drop(spark, pairs.lexigrain_path)
     wanted = context.broadcast(members.of(found.select("doc_id")))
     sets = texts.mapInArrow(_shingles(wanted), "doc_id long, shingles binary").join(found.hint("merge"), "doc_id").select("component", "doc_id", "shingles")
     near = storage.written(sets.groupBy("component").applyInPandas(_verified, "doc_id long, group_id long").where("doc_id <> group_id"), "near")
