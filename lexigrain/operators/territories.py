@@ -90,9 +90,8 @@ def identifiers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(table.items()), "identifier string, code string")
 
 
-@cache
-def _names() -> dict[str, tuple[str, str]]:
-    """Normal name to (code, strength); a strong name beats a weak one, the last of equals wins."""
+def name_table() -> dict[str, tuple[str, str]]:
+    """Normal name to (code, strength); a strong name beats a weak one, the last of equals wins. ``tools/`` packages it."""
     strong: dict[str, str] = {}
     weak: dict[str, str] = {}
     rows = sorted(refdata.rows("territories"), key=lambda t: t["code"])
@@ -108,7 +107,7 @@ def _names() -> dict[str, tuple[str, str]]:
 
 def names(spark: SparkSession) -> DataFrame:
     """(name_norm, code, strength, ord): each normal name once, in the order in which fuzzy ties are broken."""
-    return spark.createDataFrame([(k, c, s, i) for i, (k, (c, s)) in enumerate(_names().items())], "name_norm string, code string, strength string, ord int")
+    return refdata.frame(spark, "territory_names")
 
 
 def lookup_by_identifier(df: DataFrame, column: str) -> DataFrame:

@@ -19,12 +19,12 @@ CASES: dict[str, Case] = {
     "name_is_generic_person": Case(names.is_generic_person_name, [("abdul aziz", True), ("banana", False)], "boolean"),
     "name_is_stopword": Case(lambda c: names.is_stopword(c, normalize=True), [("The", True), ("banana", False)], "boolean"),
     "name_is_nullword": Case(lambda c: names.is_nullword(c, normalize=True), [("unknown", True), ("banana", False)], "boolean"),
-    "org_replace_compare": Case(names.replace_org_types_compare, [("siemens aktiengesellschaft", "siemens ag"), ("faberlic europe sp. z o.o.", "faberlic europe spzoo"), ("banana", "banana")]),
-    "org_replace_generic": Case(lambda c: names.replace_org_types_compare(c, generic=True), [("siemens ag", "siemens jsc")]),
+    "org_replace_compare": Case(names.replace_org_types_compare, [("siemens aktiengesellschaft", "siemens ag"), ("faberlic europe sp. z o.o.", "faberlic europe spzoo"), ("banana", "banana"), ("ооо газпром", "ooo газпром"), ("к.д. company", " company")]),
+    "org_replace_generic": Case(lambda c: names.replace_org_types_compare(c, generic=True), [("siemens ag", "siemens jsc"), ("ооо газпром", "llc газпром"), ("к.д. company", "lp company")]),
     "org_replace_display": Case(names.replace_org_types_display, [("Siemens Aktiengesellschaft", "Siemens AG"), ("GMBH", "GMBH"), ("banana", "banana")]),
     "org_remove": Case(names.remove_org_types, [("siemens g.m.b.h", "siemens ")]),
-    "org_extract": Case(lambda c: F.transform(names.extract_org_types(c), lambda x: F.concat_ws("=", x["matched"], x["target"])), [("siemens g.m.b.h", ["g.m.b.h=gmbh"]), ("banana", [])], "array<string>"),
-    "bag_pick_name": Case(names.pick_name, [(_PUTIN, "Vladimir Vladimirovich Putin"), (["Vladimir Putin", "Владимир Путин", "Владимир Путин"], "Vladimir Putin"), (["Putin"], "Putin")], inputs="array<string>"),
+    "org_extract": Case(lambda c: F.transform(names.extract_org_types(c), lambda x: F.concat_ws("=", x["matched"], x["target"])), [("siemens g.m.b.h", ["g.m.b.h=gmbh"]), ("banana", []), ("招商银行 有限公司", ["有限公司=ltd"]), ("samsung", [])], "array<string>"),
+    "bag_pick_name": Case(names.pick_name, [(_PUTIN, "Vladimir Vladimirovich Putin"), (["Vladimir Putin", "Владимир Путин", "Владимир Путин"], "Vladimir Putin"), (["Putin"], "Putin"), (["Banana", "banana", "nanana", "Batman"], "Banana"), (["Robert Smith", "Rob Smith", "Robert SMITH"], "Robert Smith"), (["", "PETER", "Peter"], "Peter"), ([""], None)], inputs="array<string>"),
     "bag_pick_case": Case(names.pick_case, [(["JOHN", "John", "john"], "John"), (["b", "a"], "a")], inputs="array<string>"),
     "bag_reduce_names": Case(names.reduce_names, [(["JOHN", "Jane", "John"], ["John", "Jane"]), (["x"], ["x"])], "array<string>", inputs="array<string>"),
     "bag_representative_names": Case(lambda c: names.representative_names(c, 2), [(["John Smith", "Jon Smith", "Barack Obama", "JOHN SMITH"], ["John Smith", "Barack Obama"]), (["a", "b"], ["a", "b"])], "array<string>", inputs="array<string>"),
@@ -44,7 +44,7 @@ CASES: dict[str, Case] = {
     "territory_clean_code": Case(territories.clean_code, [("US_CA ", "us-ca"), ("GB", "gb")]),
     "territory_clean_codes": Case(territories.clean_codes, [(["US_CA", "x", " de "], ["us-ca", "de"])], "array<string>", inputs="array<string>"),
     "territory_normal_name": Case(territories.normalize_territory_name, [("U.S.A.", "usa"), ("  Côte d’Ivoire ", "co te divoire"), ("Ísland", "i sland")]),
-    "territory_intersect": Case(territories.territories_intersect, [(["us"], ["us-ca", "us-tx"], ["us-ca", "us-tx"]), (["cn-hk"], ["hk"], ["hk"]), (["de"], ["fr"], []), (["xx"], ["xx"], [])], "array<string>", inputs="array<string>,array<string>"),
+    "territory_intersect": Case(territories.territories_intersect, [(["us"], ["us-ca", "us-tx"], ["us-ca", "us-tx"]), (["cn-hk"], ["hk"], ["hk"]), (["de"], ["fr"], []), (["xx"], ["xx"], []), (["us", "ca"], ["mx", "ca", "us"], ["ca", "us"]), (["ru"], ["ua-cri"], ["ua-cri"]), (["ua-cri"], ["ua"], ["ua-cri"]), (["ge"], ["x-so"], ["x-so"]), (["cn"], ["hk"], ["hk"]), (["md"], ["md-pmr"], ["md-pmr"]), ([], ["fr"], [])], "array<string>", inputs="array<string>,array<string>"),
     "address_clean": Case(addresses.clean_address, [("New York, NY", "New York, NY"), ("New York , NY", "New York, NY"), ("New York , NY,,", "New York, NY"), ("New York  \n   , NY,,", "New York, NY")]),
     "address_normalize": Case(addresses.normalize_address, [("Bahnhofstr. 10, 86150 Augsburg, Germany", "bahnhofstr 10 86150 augsburg germany"), ("160 Broad` St, Birmingham B15 1DT", "160 broad st birmingham b15 1dt"), ("hey", None), ("Д.127, АМУРСКАЯ, АМУРСКАЯ, 675000", "д 127 амурская амурская 675000")]),
     "address_normalize_latinize": Case(lambda c: addresses.normalize_address(c, latinize=True), [("Д.127, АМУРСКАЯ, АМУРСКАЯ, 675000", "d 127 amurskaa amurskaa 675000")]),

@@ -220,7 +220,7 @@ def territory_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return territories.to_json(territories.territories(spark))
 
 
-_LOOKUPS = [("UK", "gb", "gb"), ("Q30", "us", "us"), ("GBR", "gb", "gb"), ("Germany", "de", "de"), ("TGermany", None, "de"), ("Narnia", None, None), ("great britain", "gb", "gb"), ("Frannce", None, "fr")]
+_LOOKUPS = [("UK", "gb", "gb"), ("Q30", "us", "us"), ("GBR", "gb", "gb"), ("Germany", "de", "de"), ("TGermany", None, "de"), ("Narnia", None, None), ("great britain", "gb", "gb"), ("Frannce", None, "fr"), ("United States", "us", "us"), ("Российская Федерация", "ru", "ru"), ("European Union", "eu", "eu"), ("Kosovo", "xk", "xk"), ("Palestine", "ps", "ps"), ("Taiwan", "tw", "tw"), ("Abkhazia", "ge-ab", "ge-ab"), ("North Macedonia", "mk", "mk")]
 
 
 @query("SELECT * FROM (VALUES {}) t(value, exact, fuzzy)".format(", ".join(f"({literal(a)}, {literal(b)}, {literal(c)})" for a, b, c in _LOOKUPS)))

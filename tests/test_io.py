@@ -1,6 +1,7 @@
 """Readers, writers, streams and the contract of the entry module."""
 
 import __spark_entry__ as entry_module
+from lexigrain import refdata
 from lexigrain.functions import urls
 from lexigrain.operators import corpus, territories
 from lexigrain.sources import files
@@ -47,6 +48,11 @@ def test_territory_inheritance():
     assert "Q145" in index["gb"]["qids"] and "gbr" in index["gb"]["codes"]
 
 
+def test_packaged_names_equal_a_rebuild():
+    packaged = {r["name_norm"]: (r["code"], r["strength"]) for r in refdata.rows("territory_names")}
+    assert packaged == territories.name_table()
+
+
 def test_entry_contract(spark):
     queries, oracles = entry_module.queries(), entry_module.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 180
