@@ -66,7 +66,7 @@ CASES: dict[str, Case] = {
     "url_clean": Case(urls.clean_url, [("", None), ("!!@@@@", None), ("banana", None), ("gopher://xxxx.com", None), ("google.com", "http://google.com/"), ("https://www.google.com", "https://www.google.com/"), ("https://www.google.com/ ", "https://www.google.com/"), ("https://www.google.com/?q=foo&bar=baz", "https://www.google.com/?q=foo&bar=baz"), ("mailto:a@b.com", "http://mailto:a@b.com/")]),
     "url_clean_compare": Case(urls.clean_url_compare, [("", None), ("banana", None), ("//google.com", "http://google.com/"), ("https://www.google.com/?q=foo&bar=baz", "http://google.com/?bar=baz&q=foo"), ("https://www.google.com/a?b=&c=d e#x", "http://google.com/a?c=d+e")]),
     "url_compare": Case(urls.compare_urls, [("https://www.a.com", "http://a.com/", 1.0), ("a.com", "b.com", 0.0), ("", "", 0.0)], "double"),
-    "url_build": Case(lambda c: urls.build_url(c, {"q": "bla"}), [("http://pudo.org", "http://pudo.org?q=bla"), ("http://pudo.org/x?a=", "http://pudo.org/x?a=&q=bla")]),
+    "url_build": Case(lambda c: urls.build_url(c, {"q": "bla"}), [("http://example.org", "http://example.org?q=bla"), ("http://example.org/x?a=", "http://example.org/x?a=&q=bla")]),
     # dates
     "date_prefix_start": Case(lambda c: F.date_format(misc.prefix_interval(c)["start"], "yyyy-MM-dd HH:mm:ss"), [("2026", "2026-01-01 00:00:00"), ("2026-06", "2026-06-01 00:00:00"), ("2026-07-17T12:30:00+0130", "2026-07-17 11:00:00"), ("2026-7", None), ("2026-02-29", None), ("2026Z", None)]),
     "date_prefix_end": Case(lambda c: F.date_format(misc.prefix_interval(c)["end"], "yyyy-MM-dd HH:mm:ss"), [("2026", "2027-01-01 00:00:00"), ("2026-06", "2026-07-01 00:00:00"), ("2026-12-31", "2027-01-01 00:00:00"), ("2026-07-17T12", "2026-07-17 13:00:00"), ("2026-07-17T12:30", "2026-07-17 12:31:00"), ("2026-07-17T12:30:59Z", "2026-07-17 12:31:00")]),
@@ -88,7 +88,7 @@ CASES: dict[str, Case] = {
     # MIME
     "mime_normalize": Case(misc.normalize_mimetype, [("TEXT/ PLAIN", "text/plain"), ("TEXT/", "application/octet-stream"), ("1", "application/octet-stream"), (None, "application/octet-stream"), ("text/xml; charset=x", "application/xml")]),
     "mime_useful": Case(misc.useful_mimetype, [(None, False), ("application/octet-stream", False), ("text/plain", False), ("image/png", True)], "boolean"),
-    "mime_label": Case(misc.mimetype_label, [("application/x-pudo-banana", "pudo banana"), ("text/plain", "Plain text")]),
+    "mime_label": Case(misc.mimetype_label, [("application/x-foo-banana", "foo banana"), ("text/plain", "Plain text")]),
     "mime_charset": Case(misc.mimetype_charset, [("text/plain; charset=cp1251", "cp1251"), ("text/plain; charset=banana", "utf-8"), ("text/plain", None)]),
     "mime_parse_name": Case(lambda c: misc.parse_mimetype(c)["name"], [("Text/HTML; a=b", "text/html"), ("x", "application/octet-stream")]),
     "mime_extension": Case(misc.mimetype_extension, [("application/pdf", "pdf"), ("bla", None), (None, None)]),
