@@ -8,7 +8,8 @@ numbers of greater, smaller and equal registers by maximum likelihood, together
 pairs whose estimate isn't clearly below the threshold are then verified on their exact shingle sets.
 
 Documents with equal shingle sets are grouped first, by a 128-bit digest, so thousands of copies cost as
-much as one. Groups are the connected components of the verified pairs, and of each the document with the
+much as one. In each band, documents are held against one of them first; only those that this leaves in
+different components are paired with each other. Groups are the connected components of the verified pairs, and of each the document with the
 smallest id stays. The components of the *estimated* pairs are found with min-label rounds over a table
 in the shared folder; each is then verified by itself, where a union-find gives the same components as a
 global one would.
@@ -27,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexigrain.llm import members, storage, textkit
 
@@ -197,16 +199,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Copies take no part in the search.
     slim = sketched.select("doc_id", "size", "sketch")
     bands = members.without(slim, exact).select("doc_id", "sketch").mapInArrow(_bands, "band long, doc_id long")
-    pairs = storage.written(
-        bands.select("band", F.col("doc_id").alias("a")).join(bands.select("band", F.col("doc_id").alias("b")), "band").where("a < b").select("a", "b").distinct(), "pairs"
-    )
-    paired = context.broadcast(members.of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+    band = Window.partitionBy("band")
+    center = F.min_by("doc_id", F.xxhash64("doc_id", "band")).over(band)
+    shared = bands.select("band", "doc_id", F.min("doc_id").over(band).alias("low"), F.max("doc_id").over(band).alias("high"), center.alias("center")).where("low < high")
+    shared = storage.written(shared.select("band", "doc_id", "center"), "bands")
+    paired = context.broadcast(members.of(shared.select("doc_id").distinct()))
     heads = slim.mapInArrow(members.filtered(paired), slim.schema)
-    side = lambda x: heads.select(F.col("doc_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")).hint("merge")
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near, "a long, b long")
-    found = storage.written(components(likely), "components")
-    storage.drop(spark, sketched.lexigrain_path)
-    storage.drop(spark, pairs.lexigrain_path)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        side = lambda x: heads.select(F.col("doc_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")).hint("merge")
+        return pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_near, "a long, b long")
+
+    # A band's members are first held against one of them only. Groups that this joins are one component whatever
+    # their other pairs are, so only members of different components are paired, and thousands of copies cost no square.
+    stars = shared.where("doc_id <> center").select(F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b"))
+    first = storage.written(components(likely(stars)), "components")
+    labelled = shared.join(first, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = labelled.withColumn("least", F.min("component").over(band)).withColumn("most", F.max("component").over(band)).where("least < most").select("band", "doc_id", "component")
+    x, y = (mixed.select("band", F.col("doc_id").alias(d), F.col("component").alias(f"{d}_component")) for d in ("x", "y"))
+    across = x.join(y, "band").where("x_component < y_component").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    joined = first.where("doc_id <> component").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
+    found = storage.written(components(joined.unionByName(likely(across))), "components")
+    for done in (sketched, shared, first):
+        storage.drop(spark, done.lexigrain_path)
     wanted = context.broadcast(members.of(found.select("doc_id")))
     sets = texts.mapInArrow(_shingles(wanted), "doc_id long, shingles binary").join(found.hint("merge"), "doc_id").select("component", "doc_id", "shingles")
     near = storage.written(sets.groupBy("component").applyInPandas(_verified, "doc_id long, group_id long").where("doc_id <> group_id"), "near")
