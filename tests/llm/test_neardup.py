@@ -82,3 +82,22 @@ def test_filter_never_loses_a_member(spark):
     words = members.of(ids)
     held = members.may_hold(words, pa.array(range(50_000)))
     assert held[::7].all() and Counter(held.tolist())[True] < 15_000
+
+
+def test_dense_and_chained_groups_match_brute_force(spark):
+    """Copies edited independently of each other, and a chain in which only neighbours are alike."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    edit = lambda words, p: [word() if rng.random() < p else w for w in words]
+    base = [word() for _ in range(150)]
+    texts = [base] + [edit(base, 0.05) for _ in range(80)]
+    link = [word() for _ in range(150)]
+    for _ in range(12):
+        texts.append(link)
+        link = edit(link, 0.06)
+    texts += [[word() for _ in range(100)] for _ in range(60)]
+    order = rng.permutation(len(texts)).tolist()
+    rows = [(order[i], " ".join(t)) for i, t in enumerate(texts)]
+    want = brute([r[0] for r in rows], [r[1] for r in rows])
+    got = {r.doc_id: r.keep_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 85 and sum(got.get(d) == k for d, k in want.items()) >= 0.9 * len(want) and set(got) <= set(want)
