@@ -105,6 +105,7 @@ def _cut(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Rec
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        textkit.release()
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,8 @@ def _verified(group: pd.DataFrame) -> pd.DataFrame:
     sets = [np.frombuffer(group["shingles"].iloc[i], np.uint64) for i in order]
     n, sizes = len(ids), np.array([len(s) for s in sets])
     value, column = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
+    column = column.astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     by_value = np.argsort(column, kind="stable")
     begin = np.searchsorted(column[by_value], np.arange(len(value) + 1))
     cut = np.concatenate([[0], np.cumsum(sizes)])
@@ -162,6 +164,7 @@ def _verified(group: pd.DataFrame) -> pd.DataFrame:
         linked = np.unique(label[near])
         if len(linked) > 1:
             label[np.isin(label, linked)] = linked[0]
+    textkit.release()
     return pd.DataFrame({"doc_id": ids, "group_id": ids[label]})
 
 
