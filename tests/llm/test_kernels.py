@@ -209,6 +209,32 @@ def test_language_edge_cases(spark, odd, empty):
     assert langid.identify(empty).count() == 0 and langid.keep_identified(spark, empty).count() == 0
 
 
+FOREIGN = {
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+    "nl": "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "sw": "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu.",
+}
+
+
+def test_languages_without_labels_are_rejected():
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist() if r["text"].strip()]
+    train, held = [r for r in rows if r["doc_id"] % 2 == 0], [r for r in rows if r["doc_id"] % 2]
+    accepted = lambda model, texts: langid.classify(model, pa.array(texts))[3]
+    model = langid.fit([r["text"] for r in train], [r["lang"] for r in train])
+    assert not accepted(model, list(FOREIGN.values())).any() and accepted(model, [r["text"] for r in held]).mean() > 0.99
+    for unseen in model.languages:
+        others = [r for r in train if r["lang"] != unseen]
+        part = langid.fit([r["text"] for r in others], [r["lang"] for r in others])
+        assert accepted(part, [r["text"] for r in held if r["lang"] == unseen]).mean() < 0.2
+        assert accepted(part, [r["text"] for r in held if r["lang"] != unseen]).mean() > 0.99
+    for few in (["en"], ["de", "es"]):
+        part = langid.fit([r["text"] for r in train if r["lang"] in few], [r["lang"] for r in train if r["lang"] in few])
+        assert accepted(part, [r["text"] for r in held if r["lang"] in few]).mean() > 0.95
+        assert not accepted(part, list(FOREIGN.values())).any()
+
+
 # 4: URL filters
 
 
