@@ -437,6 +437,17 @@ def test_secret_literals(text, literals):
     assert secret_scan._candidates(pa.array([text])) == [0] or not literals
 
 
+def test_secrets_survive_the_prefilter(spark):
+    names = ["$secret->value", "password->plain", "secretÄ", "пароль_token", "Auth::a::b::c", "connectionString", "cfg.keys.first-one", *secret_scan._SENSITIVE, *("_".join(p).upper() for p in secret_scan._PAIRS), *(w + "s" for w in secret_scan._SENSITIVE)]
+    texts = [None, *(f'{n}{op}"a8Fk29dkQ0zz{k}"' for k, n in enumerate(names) for op in (" = ", ": ", " => ", " := ", "="))]
+    want = [i for i, t in enumerate(texts) if t and secret_scan.findings(t)]
+    assert len(want) > 0.8 * len(texts) and set(want) <= set(secret_scan._candidates(pa.array(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in secret_scan.scan(docs).collect()) == want
+    masked = {r.doc_id for r in secret_scan.redact(spark, docs).collect() if secret_scan.MASK in (r.text or "")}
+    assert masked == set(want)
+
+
 def test_secrets_of_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = Counter(r.doc_id for r in docs.collect() for _ in re.findall(r'(?i)token = "[0-9a-f]{40}"', r.text))
