@@ -94,7 +94,9 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buckets, rows, positions = [], [], []
             for row, hits in enumerate(part.column("positions")):
                 words = w.hash[w.first[row] : w.first[row + 1]]
+                # Hits are of all rows of the id; a shorter row doesn't reach all of them.
                 hits = hits.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                hits = hits[hits < len(words)]
                 grams, _ = textkit.windows(words, np.array([0, len(words)]), Q)
                 deep = refine(grams, Q, MIN_WORDS)
                 # Suffixes whose passage contains a repeating Q-gram.

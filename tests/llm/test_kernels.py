@@ -311,6 +311,12 @@ def test_repeated_passages_edge_cases(spark, odd, empty):
     assert got == [(1, 2, 60), (2, 0, 60), (4, 0, 120)]
 
 
+def test_repeated_passages_of_rows_that_share_an_id(spark):
+    passage, filler = " ".join(f"w{i}" for i in range(60)), " ".join(f"f{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, filler + " " + passage), (1, "short text"), (1, None), (2, passage)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in suffix_dedup.repeated_passages(docs).collect()) == [(1, 200, 60), (2, 0, 60)]
+
+
 def test_refinement_reaches_any_depth():
     rng = np.random.default_rng(9)
     words = textkit.mix64(rng.integers(0, 2, 400).astype(np.uint64) + np.uint64(1))
