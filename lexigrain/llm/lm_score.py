@@ -4,9 +4,9 @@ Texts become subword ids of a public vocabulary. The next id's probability is P(
 P(id | class). Classes are cuts of the vocabulary by frequency; counts cover every document. The class
 comes from one layer of causal self-attention with a learned bias per distance, a residual connection and
 a softmax. Training is data-parallel: in each round every partition takes Adam steps on its share of the
-sampled documents, from the same weights, and the results are averaged in Spark, weighted by the number of
-targets. A fixed share of all documents trains (``TRAIN_SHARE``), so what is learned from grows with the
-corpus, while the driver only ever holds one set of weights.
+round's documents, from the same weights, and the results are averaged in Spark, weighted by the number of
+targets. Each document trains in one of the ``ROUNDS``, by the hash of its id, so all of the corpus is
+learned from once, while the driver only ever holds one set of weights.
 
 Scoring cuts each document into windows of ``WINDOW`` ids that overlap by ``WINDOW - STRIDE``: an id is
 predicted with all of its window before it, and scored in the first window that predicts it, so each is
@@ -39,7 +39,6 @@ CLASSES = 64
 OWN_ROWS = 2048
 SHARED_ROWS = 512
 ROUNDS = 3
-TRAIN_SHARE = 0.3
 LEARNING_RATE = 0.02
 BATCH = 64
 #: Windows scored at once: their attention fits a core's cache.
@@ -258,10 +257,9 @@ def fit(encoded: DataFrame, size: int) -> tuple[np.ndarray, Vocabulary] | None:
     if not counts.any():
         return None
     vocabulary, flat = Vocabulary.of(counts), initial()
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    # Each round takes its own part of the documents; together they take all, those without an id too.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS))
     for r in range(ROUNDS):
-        # Each round takes its own part of the sample.
-        low, high = (round(k * TRAIN_SHARE / ROUNDS * 1_000_000) for k in (r, r + 1))
         shared = context.broadcast((flat, vocabulary, LEARNING_RATE / (1 + r)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -270,8 +268,7 @@ def fit(encoded: DataFrame, size: int) -> tuple[np.ndarray, Vocabulary] | None:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(new.astype(np.float64) * seen), pa.array(np.full(SIZE, seen, np.int64))], names=["k", "x", "n"])
 
-        sample = encoded.where((bucket >= low) & (bucket < high))
-        means = sample.mapInArrow(run, "k int, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
+        means = encoded.where(part == r).mapInArrow(run, "k int, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
         for m in means:
             flat[m["k"]] = m["x"]
     return flat, vocabulary

@@ -110,6 +110,14 @@ def test_lm_beats_frequencies(spark):
     assert r.n == len(ids) and -r.lp / r.n < -np.log(p).mean() - 0.2
 
 
+def test_lm_learns_from_every_document(spark):
+    ids = [r.id for r in spark.range(100).where("pmod(xxhash64(id), 1000000) >= 300000").limit(2).collect()]
+    for i in (*ids, None):
+        docs = spark.createDataFrame([(i, "the cat sat on the mat and the dog sat on the cat")], "doc_id long, text string")
+        flat, _ = lm_score.fit(docs.mapInArrow(lm_score._encode(subwords.TOKENIZER), "doc_id long, ids binary"), subwords.encoder().vocabulary)
+        assert not np.array_equal(flat, lm_score.initial())
+
+
 def test_lm_edge_cases(odd, empty):
     rows = lm_score.score_documents(odd).collect()
     assert len(rows) == len(ODD) and all((r.n_tokens == 0) == (r.nll is None) for r in rows)
