@@ -1,28 +1,33 @@
 """Document scores from a causal self-attention model trained in numpy (operator 1).
 
-Texts become subword ids of a public vocabulary. The next id's probability is P(class | context) times
-P(id | class). Classes are cuts of the vocabulary by frequency; counts cover every document. The class
-comes from one layer of causal self-attention with a learned bias per distance, a residual connection and
-a softmax. Training is data-parallel: in each round every partition takes Adam steps on its share of the
-round's documents, from the same weights, and the results are averaged in Spark, weighted by the number of
-targets. Each document trains in one of the ``ROUNDS``, by the hash of its id, so all of the corpus is
-learned from once, while the driver only ever holds one set of weights.
-
-Scoring cuts each document into windows of ``WINDOW`` ids that overlap by ``WINDOW - STRIDE``: an id is
-predicted with all of its window before it, and scored in the first window that predicts it, so each is
-scored once. Windows of many documents go through masked attention in one batch.
+Texts become subword ids of a public vocabulary. One layer of causal self-attention with a learned bias per
+distance and a residual connection gives a hidden vector, and a two-step softmax over it the next id:
+P(class | context) times P(id | class, context). Classes are cuts of the vocabulary by frequency, so frequent
+ids have few rivals. The second softmax begins at the ids' counts over all documents, and learns from there.
+
+Training is data-parallel and covers every document once. The corpus is cut into shards of about ``SHARD_IDS``
+ids by the hash of (doc_id, text), and each shard into ``ROUNDS`` parts. In a round every shard starts from the
+same weights, takes Adam steps over its part in the order of that hash, and the results are averaged, weighted by
+the number of ids. What a shard holds and in which order it is read follows from the rows alone, so neither
+partitioning nor lost executors change the model beyond rounding, and more data means more shards of the same size.
+
+Training windows of ``WINDOW`` ids don't overlap, so that each id is learned from once. Scoring windows
+overlap by ``WINDOW - STRIDE``: an id is predicted with all of its window before it, and scored in the first
+window that predicts it, so each is scored once. Windows of many documents go through masked attention in one batch.
 
 The result is (doc_id, n_tokens, log_prob, nll, perplexity); log_prob in nats, nll per id.
 
 Defined cases: a null, empty or white-space text has no ids: 0 tokens, log_prob 0, nll and perplexity null;
-with no id at all in the corpus there is nothing to train and all rows are such; repeated rows are each
-scored; columns of other names don't matter.
+with no id at all in the corpus there is nothing to train and all rows are such; a table of any other size, one
+row too, trains; rows without an id take part by their text; a text of any length is read whole, a block of windows
+at a time; equal texts have equal scores; repeated rows are each trained on and scored; columns of other names don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,53 +39,74 @@ from lexigrain.llm import storage, subwords, textkit
 WINDOW = 32
 STRIDE = 24
 WIDTH = 16
-CLASSES = 64
+CLASSES = 32
 #: Rows of the embedding: the most frequent ids have their own, the others share by remainder.
 OWN_ROWS = 2048
 SHARED_ROWS = 512
 ROUNDS = 3
 LEARNING_RATE = 0.02
-BATCH = 64
+MEMBER_RATE = 0.1
+BATCH = 128
 #: Windows scored at once: their attention fits a core's cache.
 SCORE_BATCH = 64
+#: Windows held at once; the softmax within classes takes a block's ids class by class.
+BLOCK = 2048
+SHARD_IDS = 1 << 22
+#: Tasks of a round hold one shard each, or several one after the other; this changes no result.
+MOST_TASKS = 1 << 14
 _ROWS = OWN_ROWS + SHARED_ROWS + 1
 _START = _ROWS - 1
+#: Logits of ids within a class that are held at once.
+_CELLS = 1 << 18
 
 _SHAPES = {"e": (_ROWS, WIDTH), "m": (WIDTH, WIDTH), "r": (WINDOW,), "v": (WIDTH, WIDTH), "c": (CLASSES, WIDTH), "b": (CLASSES,)}
+#: Weights of attention and of the softmax over classes. Those within classes, WIDTH + 1 an id, follow them.
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
-_CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-_ONES = {n: np.ones(n, np.float32) for n in (WINDOW, CLASSES)}
+#: Added to what attends to a later position: its weight is then 0.
+_LATER = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_ONES = np.ones(_CELLS, np.float32)
 #: Exponents are kept in this range, which makes a maximum per row needless.
 _RANGE = 60.0
 _DISTANCE = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW), 0)
 
 
 def split(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """Views of a weight vector: ``o`` and ``u`` are the ids' output vectors and biases, ids in the order of ``Vocabulary.place``."""
     out, at = {}, 0
     for name, shape in _SHAPES.items():
         n = int(np.prod(shape))
         out[name] = flat[at : at + n].reshape(shape)
         at += n
+    ids = (len(flat) - at) // (WIDTH + 1)
+    out["o"] = flat[at : at + ids * WIDTH].reshape(ids, WIDTH)
+    out["u"] = flat[at + ids * WIDTH :]
     return out
 
 
-def initial() -> np.ndarray:
+def initial(vocabulary: Vocabulary) -> np.ndarray:
     rng = np.random.default_rng(20)
-    flat = (rng.standard_normal(SIZE) * 0.1).astype(np.float32)
+    flat = np.zeros(SIZE + len(vocabulary.place) * (WIDTH + 1), np.float32)
+    flat[:SIZE] = rng.standard_normal(SIZE) * 0.1
     w = split(flat)
     w["m"] += np.eye(WIDTH, dtype=np.float32) * 0.1
     w["r"][:] = -0.1 * np.arange(WINDOW)
     w["b"][:] = 0
+    w["u"][:] = vocabulary.inside
     return flat
 
 
 @dataclass
 class Vocabulary:
-    """What the counts of all documents say of each id: its class, log P(id | class) and embedding row."""
+    """What the counts of all documents say of each id: its class, place among all ids ordered by class, and embedding row.
+
+    ``begin`` has the place where each class begins (one more at the end), ``inside`` log P(id | class) by place.
+    """
 
     kind: np.ndarray
-    inside: np.ndarray
+    place: np.ndarray
     row: np.ndarray
+    begin: np.ndarray
+    inside: np.ndarray
 
     @staticmethod
     def of(counts: np.ndarray) -> Vocabulary:
@@ -90,33 +116,34 @@ class Vocabulary:
         mass = np.cumsum(np.sqrt(smooth[order]))
         kind = np.empty(len(counts), np.int64)
         kind[order] = np.minimum((mass / mass[-1] * CLASSES).astype(np.int64), CLASSES - 1)
-        inside = np.log(smooth) - np.log(np.bincount(kind, smooth, CLASSES))[kind]
         rank = np.empty(len(counts), np.int64)
         rank[order] = np.arange(len(counts))
-        return Vocabulary(kind, inside, np.where(rank < OWN_ROWS, rank, OWN_ROWS + rank % SHARED_ROWS))
+        # Classes are runs of ranks, so an id's rank is its place.
+        begin = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        inside = np.log(smooth[order]) - np.log(np.maximum(np.bincount(kind, smooth, CLASSES), 0.5))[kind[order]]
+        return Vocabulary(kind, rank, np.where(rank < OWN_ROWS, rank, OWN_ROWS + rank % SHARED_ROWS).astype(np.int32), begin, inside.astype(np.float32))
 
 
-def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(at: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts whose ids begin at ``at``: text, first target, number of targets and of those already scored, per window."""
     size = np.diff(at)
-    n = np.where(size > 0, 1 + np.maximum(-(-(size - WINDOW) // STRIDE), 0), 0)
+    n = np.where(size > 0, 1 + np.maximum(-(-(size - WINDOW) // stride), 0), 0)
     text = np.repeat(np.arange(len(size)), n)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    begin = nth * STRIDE
-    return text, at[:-1][text] + begin, np.minimum(size[text] - begin, WINDOW), np.where(nth > 0, WINDOW - STRIDE, 0)
+    begin = nth * stride
+    return text, at[:-1][text] + begin, np.minimum(size[text] - begin, WINDOW), np.where(nth > 0, WINDOW - stride, 0)
 
 
-def gather(vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Input rows (windows, WINDOW), target positions, mask of targets to score, and the text of each window."""
-    text, first, length, seen = windows(at)
-    target = first[:, None] + np.arange(WINDOW)
+def blocks(vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray, stride: int = STRIDE) -> Iterator[tuple[np.ndarray, ...]]:
+    """Up to ``BLOCK`` windows at a time: input rows and target ids (windows, WINDOW), mask of targets to score, text of each window."""
+    text, first, length, seen = windows(at, stride)
     offset = np.arange(WINDOW)
-    scored = (offset >= seen[:, None]) & (offset < length[:, None])
-    target = np.minimum(target, max(len(ids) - 1, 0))
-    rows = vocabulary.row[ids].astype(np.int32)
-    inputs = rows[np.maximum(target - 1, 0)]
-    inputs[:, 0] = np.where(first == at[:-1][text], _START, inputs[:, 0])
-    return inputs, target, scored, text
+    for b in range(0, len(text), BLOCK):
+        part = slice(b, b + BLOCK)
+        target = np.minimum(first[part, None] + offset, len(ids) - 1)
+        inputs = vocabulary.row[ids[np.maximum(target - 1, 0)]]
+        inputs[:, 0] = np.where(first[part] == at[:-1][text[part]], _START, inputs[:, 0])
+        yield inputs, ids[target], (offset >= seen[part, None]) & (offset < length[part, None]), text[part]
 
 
 def attend(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -124,11 +151,10 @@ def attend(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, ..
     x = w["e"].take(inputs, axis=0)
     y = x @ w["m"]
     a = y @ np.ascontiguousarray(x.transpose(0, 2, 1))
-    a += w["r"][_DISTANCE]
-    np.clip(a, -_RANGE, _RANGE, out=a)
+    a += w["r"][_DISTANCE] + _LATER
+    np.minimum(a, _RANGE, out=a)
     np.exp(a, out=a)
-    a *= _CAUSAL
-    total = (a @ _ONES[WINDOW])[:, :, None]
+    total = np.maximum(a @ _ONES[:WINDOW], 1e-30)[:, :, None]
     z = a @ x
     z /= total
     return x, y, a, total, z, x + z @ w["v"]
@@ -140,81 +166,144 @@ def class_log_probs(w: dict[str, np.ndarray], hidden: np.ndarray, kind: np.ndarr
     np.clip(logits, -_RANGE, _RANGE, out=logits)
     picked = logits[np.arange(len(kind)), kind]
     np.exp(logits, out=logits)
-    return picked - np.log(logits @ _ONES[CLASSES])
+    return picked - np.log(logits @ _ONES[:CLASSES])
+
+
+def _by_class(vocabulary: Vocabulary, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Places where a class begins and ends, and which of the ids are of it, few enough to hold their logits."""
+    kind = vocabulary.kind[ids].astype(np.int16)
+    order = np.argsort(kind, kind="stable")
+    cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    for k in range(CLASSES):
+        low, high = int(vocabulary.begin[k]), int(vocabulary.begin[k + 1])
+        step = max(1, _CELLS // max(high - low, 1))
+        for b in range(cut[k], cut[k + 1], step):
+            yield low, high, order[b : min(b + step, cut[k + 1])]
+
+
+def member_log_probs(w: dict[str, np.ndarray], vocabulary: Vocabulary, hidden: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """log P(id | its class, hidden)."""
+    out = np.zeros(len(ids), np.float32)
+    place = vocabulary.place[ids]
+    for low, high, mine in _by_class(vocabulary, ids):
+        logits = hidden.take(mine, axis=0) @ w["o"][low:high].T
+        logits += w["u"][low:high]
+        np.clip(logits, -_RANGE, _RANGE, out=logits)
+        picked = logits[np.arange(len(mine)), place[mine] - low]
+        np.exp(logits, out=logits)
+        out[mine] = picked - np.log(logits @ _ONES[: high - low])
+    return out
 
 
 def score(flat: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of log probabilities of each text's ids."""
     out = np.zeros(len(at) - 1)
-    if not len(ids):
-        return out
     w = split(flat)
-    inputs, target, scored, text = gather(vocabulary, ids, at)
-    kind, inside = vocabulary.kind[ids], vocabulary.inside[ids]
-    for b in range(0, len(text), SCORE_BATCH):
-        mask = np.flatnonzero(scored[b : b + SCORE_BATCH])
-        hidden = attend(w, inputs[b : b + SCORE_BATCH])[-1].reshape(-1, WIDTH).take(mask, axis=0)
-        where = target[b : b + SCORE_BATCH].ravel()[mask]
-        low = text[b]
-        sums = np.bincount(text[b + mask // WINDOW] - low, class_log_probs(w, hidden, kind[where]) + inside[where])
-        out[low : low + len(sums)] += sums
+    for inputs, target, scored, text in blocks(vocabulary, ids, at):
+        hidden = np.concatenate([attend(w, inputs[b : b + SCORE_BATCH])[-1][scored[b : b + SCORE_BATCH]] for b in range(0, len(inputs), SCORE_BATCH)])
+        words = target[scored]
+        kind = vocabulary.kind[words]
+        step = SCORE_BATCH * STRIDE
+        sums = np.concatenate([class_log_probs(w, hidden[b : b + step], kind[b : b + step]) for b in range(0, len(words), step)]) + member_log_probs(w, vocabulary, hidden, words)
+        low = text[0]
+        add = np.bincount(np.repeat(text - low, scored.sum(axis=1)), sums)
+        out[low : low + len(add)] += add
     return out
 
 
-def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, kind: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradient of the mean class loss over the masked targets, and that loss."""
+def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, kind: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Gradient of the mean class loss over the masked targets, that loss, and the hidden vectors."""
     x, y, a, total, z, h = attend(w, inputs)
     a /= total
-    n = max(int(mask.sum()), 1)
     k, m = kind.ravel(), mask.ravel()
-    p = h.reshape(-1, WIDTH) @ w["c"].T
+    n = max(int(np.count_nonzero(m)), 1)
+    h2 = h.reshape(-1, WIDTH)
+    p = h2 @ w["c"].T
     p += w["b"]
     np.clip(p, -_RANGE, _RANGE, out=p)
     np.exp(p, out=p)
-    p /= (p @ _ONES[CLASSES])[:, None]
-    loss = -float(np.log(np.maximum(p[np.arange(len(k)), k], 1e-30))[m].sum()) / n
-    p[np.arange(len(k)), k] -= 1
-    p *= (m / n).astype(np.float32)[:, None]
-    flat = np.zeros(SIZE, np.float32)
+    p /= (p @ _ONES[:CLASSES])[:, None]
+    cell = np.arange(len(k)) * CLASSES + k
+    flat_p = p.reshape(-1)
+    loss = -float(np.log(np.maximum(flat_p[cell], 1e-30))[m].sum()) / n
+    flat_p[cell] -= 1
+    if n < len(m):
+        p[~m] = 0
+    p *= np.float32(1 / n)
+    flat = np.empty(SIZE, np.float32)
     g = split(flat)
-    h2 = h.reshape(-1, WIDTH)
     g["c"][:] = p.T @ h2
-    g["b"][:] = p.sum(axis=0)
+    g["b"][:] = _ONES[: len(p)] @ p
     dh = (p @ w["c"]).reshape(h.shape)
     g["v"][:] = z.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
     dz = dh @ w["v"].T
     dx = dh + a.transpose(0, 2, 1) @ dz
-    da = dz @ x.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    ds = dz @ x.transpose(0, 2, 1)
+    # Sum over keys of weight times its gradient is the gradient times the attended vector.
+    ds -= (dz * z).sum(axis=2, keepdims=True)
+    ds *= a
     g["r"][:] = np.bincount(_DISTANCE.ravel(), ds.sum(axis=0).ravel(), WINDOW)
     dy = ds @ x
     dx += ds.transpose(0, 2, 1) @ y
     g["m"][:] = x.reshape(-1, WIDTH).T @ dy.reshape(-1, WIDTH)
     dx += dy @ w["m"].T
-    flat_in, flat_dx = inputs.ravel(), dx.reshape(-1, WIDTH)
+    flat_in, flat_dx = inputs.ravel(), np.ascontiguousarray(dx.reshape(-1, WIDTH).T)
     for j in range(WIDTH):
-        g["e"][:, j] = np.bincount(flat_in, flat_dx[:, j], _ROWS)
-    return flat, loss
-
-
-def train(flat: np.ndarray, vocabulary: Vocabulary, documents: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = LEARNING_RATE) -> tuple[np.ndarray, int]:
-    """Adam steps over the windows of some documents; the new weights and the number of targets seen."""
+        g["e"][:, j] = np.bincount(flat_in, flat_dx[j], _ROWS)
+    return flat, loss, h2
+
+
+def _learn_members(w: dict[str, np.ndarray], power: dict[str, np.ndarray], vocabulary: Vocabulary, hidden: np.ndarray, ids: np.ndarray, rate: float) -> None:
+    """One Adagrad step of the softmax within every class that the ids have, on their mean loss."""
+    place = vocabulary.place[ids]
+    for low, high, mine in _by_class(vocabulary, ids):
+        h = hidden.take(mine, axis=0)
+        p = h @ w["o"][low:high].T
+        p += w["u"][low:high]
+        np.clip(p, -_RANGE, _RANGE, out=p)
+        np.exp(p, out=p)
+        p /= (p @ _ONES[: high - low])[:, None]
+        p[np.arange(len(mine)), place[mine] - low] -= 1
+        for name, g in (("o", p.T @ h), ("u", _ONES[: len(p)] @ p)):
+            g /= len(mine)
+            power[name][low:high] += g * g
+            w[name][low:high] -= rate * g / (np.sqrt(power[name][low:high]) + 1e-5)
+
+
+def _filled(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same windows in blocks of ``BLOCK``, however they were cut before."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part[:3])
+        n += len(part[0])
+        while n >= BLOCK:
+            whole = [np.concatenate(x) for x in zip(*held)]
+            yield tuple(x[:BLOCK] for x in whole)
+            held, n = [tuple(x[BLOCK:] for x in whole)], n - BLOCK
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def train(flat: np.ndarray, vocabulary: Vocabulary, documents: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 1.0) -> tuple[np.ndarray, int]:
+    """Steps over the windows of some documents; the new weights and the number of targets seen."""
     flat = flat.copy()
+    w, own = split(flat), flat[:SIZE]
     first, second, step, seen = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0, 0
-    for ids, at in documents:
-        if not len(ids):
-            continue
-        inputs, target, mask, _ = gather(vocabulary, ids, at)
-        kind = vocabulary.kind[ids][target]
-        order = np.random.default_rng(len(ids)).permutation(len(inputs))
+    power = {n: np.zeros_like(w[n]) for n in ("o", "u")}
+    for inputs, target, mask in _filled(b for ids, at in documents if len(ids) for b in blocks(vocabulary, ids, at, WINDOW)):
+        kind = vocabulary.kind[target]
+        order = np.random.default_rng(seen).permutation(len(inputs))
+        hidden = np.empty((*inputs.shape, WIDTH), np.float32)
         for b in range(0, len(order), BATCH):
             part = order[b : b + BATCH]
-            g, _ = gradient(split(flat), inputs[part], kind[part], mask[part])
+            g, _, h = gradient(w, inputs[part], kind[part], mask[part])
+            hidden[part] = h.reshape(len(part), WINDOW, WIDTH)
             step += 1
             first += 0.1 * (g - first)
             second += 0.01 * (g * g - second)
-            flat -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-            seen += int(mask[part].sum())
+            own -= rate * LEARNING_RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+        _learn_members(w, power, vocabulary, hidden[mask], target[mask], rate * MEMBER_RATE)
+        seen += int(mask.sum())
     return flat, seen
 
 
@@ -225,11 +314,18 @@ def _encode(tokenizer: str):
                 ids, at = subwords.encoder(tokenizer).encode(part.column("text"))
                 raw = pa.py_buffer(np.ascontiguousarray(ids))
                 blobs = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 2).astype(np.int32)), raw])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), blobs], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), blobs], names=["doc_id", "key", "ids"])
 
     return run
 
 
+def encoded(docs: DataFrame, tokenizer: str = subwords.TOKENIZER) -> DataFrame:
+    """(doc_id, key, ids): ``key`` is a hash of id and text, which places a row in training; ids are 16-bit numbers."""
+    path = subwords.shipped(docs.sparkSession, tokenizer)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(_encode(path), "doc_id long, key long, ids binary")
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         for part in textkit.slices(batch, "ids"):
@@ -248,45 +344,75 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
 
-def fit(encoded: DataFrame, size: int) -> tuple[np.ndarray, Vocabulary] | None:
-    """Counts over all documents, then rounds of local training and averaging."""
-    context = encoded.sparkSession.sparkContext
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Shard, ids and beginnings of runs of rows of one shard."""
+    for part, ids, at in _documents(batches):
+        shard = part.column("shard").to_numpy(zero_copy_only=False)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+        for a, b in zip(cut, cut[1:]):
+            yield int(shard[a]), ids[at[a] : at[b]], at[a : b + 1] - at[a]
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of weighted steps, and of their weights."""
+    total, n = None, 0
+    for batch in batches:
+        for blob, seen in zip(batch.column("x"), batch.column("n").to_pylist()):
+            x = np.frombuffer(blob.as_buffer(), np.float32)
+            total = x.astype(np.float64) if total is None else total + x
+            n += seen
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n])], names=["x", "n"])
+
+
+def fit(rows: DataFrame, size: int) -> tuple[np.ndarray, Vocabulary] | None:
+    """Counts over all documents of ``encoded``, then rounds of training by shard and averaging."""
+    context = rows.sparkSession.sparkContext
     counts = np.zeros(size, np.int64)
-    for r in encoded.mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in rows.mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     if not counts.any():
         return None
-    vocabulary, flat = Vocabulary.of(counts), initial()
-    # Each round takes its own part of the documents; together they take all, those without an id too.
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS))
+    vocabulary = Vocabulary.of(counts)
+    flat = initial(vocabulary)
+    n = -(-int(counts.sum()) // SHARD_IDS)
+    tasks = min(n, MOST_TASKS)
+    placed = rows.select("ids", "key", F.pmod("key", F.lit(n)).alias("shard"), F.pmod(F.xxhash64("key"), F.lit(ROUNDS)).alias("round"))
     for r in range(ROUNDS):
-        shared = context.broadcast((flat, vocabulary, LEARNING_RATE / (1 + r)))
+        shared = context.broadcast((flat, vocabulary, 1 / (1 + r)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             start, words, rate = shared.value
-            new, seen = train(start, words, ((ids, at) for _, ids, at in _documents(batches)), rate)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(new.astype(np.float64) * seen), pa.array(np.full(SIZE, seen, np.int64))], names=["k", "x", "n"])
-
-        means = encoded.where(part == r).mapInArrow(run, "k int, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
-        for m in means:
-            flat[m["k"]] = m["x"]
+            total, n = np.zeros(len(start)), 0
+            for _, group in groupby(_shards(batches), lambda x: x[0]):
+                new, seen = train(start, words, ((ids, at) for _, ids, at in group), rate)
+                total += (new - start).astype(np.float64) * seen
+                n += seen
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n])], names=["x", "n"])
+
+        mine = placed.where(F.col("round") == r).select("ids", "key", "shard").repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))
+        steps = mine.sortWithinPartitions("shard", "key").mapInArrow(run, "x binary, n long")
+        # One vector a task; few tasks add them up, so the driver holds few.
+        sums = steps.repartition(min(tasks, 8)).mapInArrow(_summed, "x binary, n long").collect()
+        seen = sum(s["n"] for s in sums)
+        if seen:
+            flat = flat + (sum(np.frombuffer(s["x"], np.float32).astype(np.float64) for s in sums) / seen).astype(np.float32)
+        shared.unpersist()
     return flat, vocabulary
 
 
 def score_documents(docs: DataFrame, tokenizer: str = subwords.TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens, log_prob, nll, perplexity) of every row."""
     spark: SparkSession = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = storage.written(texts.mapInArrow(_encode(tokenizer), "doc_id long, ids binary"), "subwords")
-    fitted = fit(encoded, subwords.encoder(tokenizer).vocabulary)
-    shared = spark.sparkContext.broadcast(fitted)
+    rows = storage.written(encoded(docs, tokenizer), "subwords")
+    shared = spark.sparkContext.broadcast(fit(rows, subwords.encoder(tokenizer).vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids, at in _documents(batches):
             log_prob = score(*shared.value, ids, at) if len(ids) else np.zeros(len(at) - 1)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(log_prob)], names=["doc_id", "n_tokens", "log_prob"])
 
-    scored = encoded.mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
+    scored = rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
     nll = F.when(F.col("n_tokens") > 0, -F.col("log_prob") / F.col("n_tokens"))
     return scored.withColumn("nll", nll).withColumn("perplexity", F.exp("nll"))

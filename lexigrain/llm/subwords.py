@@ -10,6 +10,8 @@ import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 from lexigrain.llm import textkit
 
@@ -77,8 +79,16 @@ class Encoder:
         return self.flat[source], total[w.first]
 
 
+def shipped(spark: SparkSession, path: str = TOKENIZER) -> str:
+    """Sends the vocabulary file to all executors; the same path, for use in their tasks."""
+    spark.sparkContext.addFile(path)
+    return path
+
+
 def encoder(path: str = TOKENIZER) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
+    """The worker's encoder for a vocabulary file, from its path or, where the machine hasn't that, as it was sent."""
+    if not os.path.exists(path):
+        path = SparkFiles.get(os.path.basename(path))
     key = f"{path}:{os.path.getmtime(path)}"
     if key not in _encoders:
         _encoders[key] = Encoder(path)

@@ -60,6 +60,7 @@ def slow_score(flat, v, ids):
     """One id at a time, with its window cut out and no batches."""
     w, total = lm_score.split(flat.astype(np.float64)), 0.0
     rows = [lm_score._START, *v.row[ids]]
+    soft = lambda s, i: s[i] - s.max() - np.log(np.exp(s - s.max()).sum())
     for t in range(len(ids)):
         k = max(0, -(-(t + 1 - lm_score.WINDOW) // lm_score.STRIDE))
         x = w["e"][rows[k * lm_score.STRIDE : t + 1]]
@@ -67,38 +68,57 @@ def slow_score(flat, v, ids):
         a = x[-1] @ w["m"] @ x.T + w["r"][n - 1 - np.arange(n)]
         a = np.exp(a - a.max())
         h = x[-1] + (a / a.sum()) @ x @ w["v"]
-        s = h @ w["c"].T + w["b"]
-        total += s[v.kind[ids[t]]] - s.max() - np.log(np.exp(s - s.max()).sum()) + v.inside[ids[t]]
+        kind, place = v.kind[ids[t]], v.place[ids[t]]
+        low, high = v.begin[kind], v.begin[kind + 1]
+        total += soft(h @ w["c"].T + w["b"], kind) + soft(h @ w["o"][low:high].T + w["u"][low:high], place - low)
     return total
 
 
+def some_weights(v, rng):
+    flat = lm_score.initial(v)
+    return flat + rng.standard_normal(len(flat)).astype(np.float32) * 0.2
+
+
 def test_lm_scores_equal_one_by_one():
     rng = np.random.default_rng(5)
     v = lm_score.Vocabulary.of(rng.integers(0, 50, 5000))
-    flat = lm_score.initial() + rng.standard_normal(lm_score.SIZE).astype(np.float32) * 0.2
+    flat = some_weights(v, rng)
     size = [0, 1, 5, lm_score.WINDOW, lm_score.WINDOW + 1, 150]
     at = np.concatenate([[0], np.cumsum(size)])
     ids = rng.integers(0, 5000, at[-1]).astype(np.uint16)
     got = lm_score.score(flat, v, ids, at)
     assert got == pytest.approx([slow_score(flat, v, ids[a:b]) for a, b in zip(at, at[1:])], rel=1e-3, abs=1e-3)
-    _, _, scored, text = lm_score.gather(v, ids, at)
-    assert np.bincount(text, scored.sum(axis=1), len(size)).tolist() == size
-    assert np.exp(v.inside[v.kind == 3]).sum() == pytest.approx(1)
+    for stride in (lm_score.STRIDE, lm_score.WINDOW):
+        n = sum(np.bincount(text, scored.sum(axis=1), len(size)) for _, _, scored, text in lm_score.blocks(v, ids, at, stride))
+        assert n.tolist() == size
+    assert np.exp(v.inside[v.begin[3] : v.begin[4]]).sum() == pytest.approx(1, rel=1e-5)
 
 
 def test_lm_gradient():
     rng = np.random.default_rng(6)
-    flat = lm_score.initial()
+    v = lm_score.Vocabulary.of(rng.integers(0, 50, 5000))
+    flat = lm_score.initial(v)
     inputs = rng.integers(0, 50, (4, lm_score.WINDOW)).astype(np.int32)
     kind = rng.integers(0, lm_score.CLASSES, inputs.shape)
     mask = rng.random(inputs.shape) < 0.8
-    g, _ = lm_score.gradient(lm_score.split(flat), inputs, kind, mask)
-    direction = g / np.linalg.norm(g)
-    step = 1e-2
+    g, _, _ = lm_score.gradient(lm_score.split(flat), inputs, kind, mask)
+    direction, step = np.zeros_like(flat), 1e-2
+    direction[: lm_score.SIZE] = g / np.linalg.norm(g)
     up, down = (lm_score.gradient(lm_score.split(flat + s * step * direction), inputs, kind, mask)[1] for s in (1, -1))
     assert (up - down) / (2 * step) == pytest.approx(np.linalg.norm(g), rel=0.02)
 
 
+def test_lm_learns_within_classes():
+    """Two ids of one class, told apart by the id before them."""
+    v = lm_score.Vocabulary.of(np.array([100, 100, 100, 100] + [1] * 60))
+    ids = np.random.default_rng(3).permutation(np.repeat([[0, 1], [2, 3]], 2000, axis=0)).ravel().astype(np.uint16)
+    flat = lm_score.initial(v)
+    before = lm_score.score(flat, v, ids, np.array([0, len(ids)]))[0]
+    for _ in range(20):
+        flat, seen = lm_score.train(flat, v, iter([(ids, np.array([0, len(ids)]))]))
+    assert seen == len(ids) and lm_score.score(flat, v, ids, np.array([0, len(ids)]))[0] > 0.6 * before
+
+
 def test_lm_beats_frequencies(spark):
     """Per id, better than the frequency of ids in the whole corpus."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -111,18 +131,29 @@ def test_lm_beats_frequencies(spark):
 
 
 def test_lm_learns_from_every_document(spark):
-    ids = [r.id for r in spark.range(100).where("pmod(xxhash64(id), 1000000) >= 300000").limit(2).collect()]
-    for i in (*ids, None):
-        docs = spark.createDataFrame([(i, "the cat sat on the mat and the dog sat on the cat")], "doc_id long, text string")
-        flat, _ = lm_score.fit(docs.mapInArrow(lm_score._encode(subwords.TOKENIZER), "doc_id long, ids binary"), subwords.encoder().vocabulary)
-        assert not np.array_equal(flat, lm_score.initial())
+    size = subwords.encoder().vocabulary
+    for rows in ([(i, "the cat sat on the mat and the dog sat on the cat")] for i in (1, 2, 3, None)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        flat, v = lm_score.fit(lm_score.encoded(docs), size)
+        assert not np.array_equal(flat, lm_score.initial(v))
+    docs = spark.createDataFrame([(i, f"cat {i} and dog {i}") for i in range(3)], "doc_id long, text string")
+    assert lm_score.fit(lm_score.encoded(docs), size) and lm_score.score_documents(docs).where("nll > 0").count() == 3
+
+
+def test_lm_scores_dont_depend_on_partitions(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(lm_score, "SHARD_IDS", 1 << 14)
+    one, eight = ({(r.doc_id, r.n_tokens): r.log_prob / max(r.n_tokens, 1) for r in lm_score.score_documents(docs.repartition(n)).collect()} for n in (1, 8))
+    assert one.keys() == eight.keys() and max(abs(one[k] - eight[k]) for k in one) < 1e-3
 
 
 def test_lm_edge_cases(odd, empty):
     rows = lm_score.score_documents(odd).collect()
     assert len(rows) == len(ODD) and all((r.n_tokens == 0) == (r.nll is None) for r in rows)
-    a, b = (r.log_prob for r in rows if r.doc_id in (7, 8))
-    assert a == pytest.approx(b, rel=1e-4)
+    assert next(r.n_tokens for r in rows if r.doc_id == 5) >= 60_000
+    for same in ((7, 8), (6, 6)):
+        a, b = (r.log_prob for r in rows if r.doc_id in same)
+        assert a == pytest.approx(b, rel=1e-4)
     assert lm_score.score_documents(empty).count() == 0
 
 
