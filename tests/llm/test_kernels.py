@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -475,6 +476,27 @@ def test_packs_hold_every_piece_once(spark, odd, empty):
         ("if password == 'abc123def': pass", []),
         ("The key: a good night's sleep. Its token = of love", []),
         ('colour = "9233A8ECF7C5B09FE5949719"', []),
+        ('password = ("hunter2"  # first\n  "A9x81")', ["hunter2", "A9x81"]),
+        ('password = """hunter2A9x"""', ["hunter2A9x"]),
+        ("db:\n  password: |\n    hunter2A9x\n    zz81\n  user: bob", ["hunter2A9x", "zz81"]),
+        ("<config><password>hunter2A9x</password></config>", ["hunter2A9x"]),
+        ('<add key="password" value="hunter2A9x"/>', ["hunter2A9x"]),
+        ('pw = os.environ.get("DB_PASSWORD", "hunter2A9x")', ["hunter2A9x"]),
+        ("define('DB_PASSWORD', 'hunter2A9x');", ["hunter2A9x"]),
+        ('#define API_KEY "hunter2A9x"', ["hunter2A9x"]),
+        ('const apiKey: string = "hunter2A9x";', ["hunter2A9x"]),
+        ('var password string = "hunter2A9x"', ["hunter2A9x"]),
+        ('char password[] = "hunter2A9x";', ["hunter2A9x"]),
+        ('A = "hun"\nA += "ter2A9x"\npassword = A', ["hun", "ter2A9x"]),
+        ('password = process.env.PW || "hunter2A9x"', ["hunter2A9x"]),
+        ('BASE=hun7er2A\nexport PASSWORD="${BASE}x81q"', ["hun7er2A", "x81q"]),
+        ('b = "x9"\npassword = f"ab{b}cd77Zz"', ["x9", "ab", "cd77Zz"]),
+        ('password = SecretStr("hunter2A9x")', ["hunter2A9x"]),
+        ('passwords = ["hunter2A9x", "zz81kk29"]', ["hunter2A9x", "zz81kk29"]),
+        ('$password = "hunter2" . "A9x";', ["hunter2", "A9x"]),
+        ("don't. password = \"hunter2A9x\" it's", ["hunter2A9x"]),
+        ("my_" * 200 + 'password = "hunter2A9x"', ["hunter2A9x"]),
+        ('password = get_password("hunter2A9x")', []),
     ],
 )
 def test_secret_literals(text, literals):
@@ -482,6 +504,52 @@ def test_secret_literals(text, literals):
     assert secret_scan._candidates(pa.array([text])) == [0] or not literals
 
 
+def test_secrets_of_many_lines_take_time_in_proportion():
+    lines = ["x = x + x\n", "password = password + 'abc1'\n", "password = x /* ", 'password = ("a" + ', "key: str[", "key='", '"key":', "a=(\n#", 'f("key", ']
+    for line in lines:
+        begun = time.process_time()
+        secret_scan.findings('x = "a8Fk29dk"\npassword = "a8Fk29dk"\n' + line * 10_000 + "\npassword = x\n")
+        assert time.process_time() - begun < 5, line
+    assert len(secret_scan.findings('x = "a8Fk29dk"\n' + "x = x + x\n" * 10_000 + "password = x")) == 1
+
+
+def test_constants_equal_a_brute_force_evaluator():
+    """Random programs of sums and extensions, against one that joins the strings."""
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        held, lines, want, at = {}, [], {}, 0
+        for k in range(12):
+            name = ["a", "b", "c", "password", "api_token"][rng.integers(5)]
+            terms, value, shown = [], [], []
+            line_at = at + len(name)
+            extends = name in held and rng.random() < 0.3
+            op = " += " if extends else " = "
+            place = line_at + len(op)
+            for _ in range(rng.integers(1, 4)):
+                if held and rng.random() < 0.4:
+                    other = list(held)[rng.integers(len(held))]
+                    shown.append(other)
+                    value += held[other]
+                    place += len(other) + 3
+                else:
+                    literal = "".join(rng.choice(list("abcXYZ0123456789"), rng.integers(1, 9)))
+                    shown.append(f'"{literal}"')
+                    value.append((literal, place + 1, place + 1 + len(literal)))
+                    place += len(literal) + 5
+            if extends:
+                value = held[name] + value
+            held[name] = value
+            line = f"{name}{op}{' + '.join(shown)}\n"
+            lines.append(line)
+            at += len(line)
+            score = secret_scan.name_score(name) * secret_scan.Value.of("".join(v for v, _, _ in value)).score()
+            if score >= secret_scan.THRESHOLD:
+                for _, a, b in value:
+                    want[a, b] = max(want.get((a, b), 0.0), score)
+        got = secret_scan.findings("".join(lines))
+        assert [(a, b) for _, a, b, _ in got] == sorted(want) and [x[3] for x in got] == pytest.approx([want[k] for k in sorted(want)])
+
+
 def test_secrets_survive_the_prefilter(spark):
     names = ["$secret->value", "password->plain", "secretÄ", "пароль_token", "Auth::a::b::c", "connectionString", "cfg.keys.first-one", *secret_scan._SENSITIVE, *("_".join(p).upper() for p in secret_scan._PAIRS), *(w + "s" for w in secret_scan._SENSITIVE)]
     texts = [None, *(f'{n}{op}"a8Fk29dkQ0zz{k}"' for k, n in enumerate(names) for op in (" = ", ": ", " => ", " := ", "="))]
