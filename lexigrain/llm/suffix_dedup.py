@@ -1,24 +1,26 @@
 """Passages that repeat across documents, by bucket-pointer refinement of word suffixes (operator 6).
 
-Every word position of the corpus is a suffix; suffixes that agree on their first words share a bucket.
-Buckets start as ``Q``-grams. A bucket is refined by the bucket that its suffixes have some words later:
-two suffixes with the same buckets at p and at p + d agree on d more words. The refined identifiers
-replace the old ones and serve the next refinement, so depth grows from ``Q`` to ``MIN_WORDS`` in few
-rounds. A bucket is identified by a hash of its content instead of its rank, so a refinement needs no
-exchange, and only the last identifiers are sorted together. Suffixes left in a bucket with a suffix of
-another document begin a passage of ``MIN_WORDS`` words that repeats.
-
-A suffix that is alone in its first bucket needs no refinement. To know these without sorting every
-position, each run of ``MIN_WORDS - Q + 1`` consecutive Q-grams hands in its smallest hash (winnowing): two
-equal passages hand in the same one, so every repeat has a handed-in Q-gram that repeats. Only suffixes
-near such Q-grams are refined. This loses nothing, and about one position in thirteen is handed in.
+Every word position of the corpus is a suffix; suffixes that agree on their first words share a bucket. Buckets
+start as ``GRAM``-grams. A refinement sorts the suffixes on the pair of their own bucket and the bucket of the
+suffix some words later: two suffixes with equal pairs agree on that many words more. The runs of equal pairs in
+sorted order are the new buckets, numbered as they are met; suffixes whose bucket no other document shares drop
+out, and the new numbers are what the next refinement looks up at the later offset. ``steps`` gives the offsets:
+from ``GRAM`` the depth doubles until ``MIN_WORDS`` are reached. Suffixes that are left begin a passage of
+``MIN_WORDS`` words that repeats.
+
+A refinement has two exchanges: suffixes are sorted by pair where buckets are numbered, and by document where a
+suffix's later bucket stands next to it. Both sides are read in sorted order as streams, so a bucket of any size
+takes no memory. To keep most of the corpus out of them, each run of ``MIN_WORDS - Q + 1`` consecutive
+``Q``-grams hands in its smallest hash (winnowing): two equal passages hand in the same one, so a suffix whose own
+run handed in a Q-gram that no other document has can't begin a repeat. This loses nothing, and about one
+position in thirteen is handed in.
 
 The result is (doc_id, first_word, n_words): maximal stretches of words (``textkit``) covered by
 repeating passages; positions count the document's words.
 
-Defined cases: null, empty and short texts have no passage; a passage that repeats only within one
-document isn't reported; rows that share an id are one document for that purpose; rows without an id are
-left out; columns of other names don't matter.
+Defined cases: null, empty and short texts have no passage; texts of any length are read whole; a passage that
+repeats only within one document isn't reported; rows that share an id are one document for that purpose, and
+positions count each row's own words; rows without an id are left out; columns of other names don't matter.
 """
 
 from __future__ import annotations
@@ -27,14 +29,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexigrain.llm import textkit
+from lexigrain.llm import members, storage, textkit
 
 MIN_WORDS = 50
+#: Words of the grams that are handed in to find where refinement can succeed.
 Q = 26
+#: Words of the first buckets.
+GRAM = 13
+#: A position is the number of the row among those of its id, in the upper bits, and the word in the row.
+_WORD = 32
+
+_PAIRS = "b1 long, b2 long, doc_id long, position long"
+_BUCKETS = "doc_id long, position long, bucket long"
+
+
+def steps(depth: int = GRAM, goal: int = MIN_WORDS) -> list[int]:
+    """How much deeper each refinement goes."""
+    out = []
+    while depth < goal:
+        out.append(min(depth, goal - depth))
+        depth += out[-1]
+    return out
 
 
 def _sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
@@ -63,15 +82,8 @@ def selected(grams: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray
     return np.flatnonzero((grams == most) & (most > 0))
 
 
-def refine(buckets: np.ndarray, depth: int, goal: int) -> np.ndarray:
-    """Bucket identifiers at depth ``goal`` of a text's positions, from those at ``depth``; the last positions drop out."""
-    while depth < goal:
-        step = min(depth, goal - depth)
-        if len(buckets) <= step:
-            return buckets[:0]
-        buckets = textkit.mix64(buckets[:-step] * np.uint64(0xD1342543DE82EF95) + textkit.mix64(buckets[step:]))
-        depth += step
-    return buckets
+def _pairs(b1: np.ndarray, b2: np.ndarray, docs: pa.Array, position: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64)), docs, pa.array(position.astype(np.int64))], names=["b1", "b2", "doc_id", "position"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,41 +93,109 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, at = textkit.windows(w.hash, w.first, Q)
             pick = selected(grams, at, w.first)
             row = np.searchsorted(w.first, at[pick], "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[pick].view(np.int64)), part.column("doc_id").take(pa.array(row)), pa.array((at[pick] - w.first[row]).astype(np.int32))],
-                names=["bucket", "doc_id", "position"],
-            )
+            yield _pairs(grams[pick], np.zeros(len(pick), np.uint64), part.column("doc_id").take(pa.array(row)), at[pick] - w.first[row])
+
+
+def starts(words: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Positions of a text whose run of Q-grams handed in one at ``hits``."""
+    grams, _ = textkit.windows(words, np.array([0, len(words)]), Q)
+    low = _sliding(grams, MIN_WORDS - Q + 1, np.minimum)
+    return np.flatnonzero(np.isin(low, grams[hits[hits < len(grams)]]))
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes that can begin a repeat, or are looked up by one that can, with their first buckets at both offsets."""
+    reach = np.cumsum([0, *steps()[1:]])
+    last, nth = None, 0
     for batch in batches:
         for part in textkit.slices(batch):
             w = textkit.words(part.column("text"))
-            buckets, rows, positions = [], [], []
-            for row, hits in enumerate(part.column("positions")):
+            b1, b2, rows, positions = [], [], [], []
+            for row, (doc, hits) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("positions"))):
+                # Rows of one id come one after the other.
+                last, nth = doc, nth + 1 if doc == last else 0
                 words = w.hash[w.first[row] : w.first[row + 1]]
-                # Hits are of all rows of the id; a shorter row doesn't reach all of them.
-                hits = hits.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                hits = hits[hits < len(words)]
-                grams, _ = textkit.windows(words, np.array([0, len(words)]), Q)
-                deep = refine(grams, Q, MIN_WORDS)
-                # Suffixes whose passage contains a repeating Q-gram.
-                near = np.zeros(len(words) + 1, np.int32)
-                np.add.at(near, np.maximum(hits - (MIN_WORDS - Q), 0), 1)
-                np.add.at(near, np.minimum(hits + 1, len(words)), -1)
-                alive = np.flatnonzero(np.cumsum(near)[: len(deep)] > 0)
-                buckets.append(deep[alive])
-                rows.append(np.full(len(alive), row))
-                positions.append(alive)
-            row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((np.concatenate(buckets) if buckets else np.zeros(0, np.uint64)).view(np.int64)),
-                    part.column("doc_id").take(pa.array(row, pa.int64())),
-                    pa.array((np.concatenate(positions) if positions else row).astype(np.int32)),
-                ],
-                names=["bucket", "doc_id", "position"],
-            )
+                begin = starts(words, hits.values.to_numpy(zero_copy_only=False).astype(np.int64))
+                if not len(begin):
+                    continue
+                at = np.zeros(len(words), bool)
+                # Offsets add up in any combination of the later refinements.
+                for mask in range(1 << (len(reach) - 1)):
+                    at[begin + sum(step for k, step in enumerate(steps()[1:]) if mask >> k & 1)] = True
+                at = np.flatnonzero(at)
+                grams, _ = textkit.windows(words, np.array([0, len(words)]), GRAM)
+                b1.append(grams[at])
+                b2.append(grams[at + steps()[0]])
+                rows.append(np.full(len(at), row))
+                positions.append(at + (nth << _WORD))
+            if rows:
+                yield _pairs(np.concatenate(b1), np.concatenate(b2), part.column("doc_id").take(pa.array(np.concatenate(rows))), np.concatenate(positions))
+
+
+def refined(batches: Iterator[pa.RecordBatch], task: int = 0) -> Iterator[pa.RecordBatch]:
+    """New buckets of suffixes sorted by pair and document; a bucket without a second document is left out."""
+    number = task << 36
+    key, held, shared = None, [], False
+    for batch in batches:
+        b1, b2, doc, position = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("b1", "b2", "doc_id", "position"))
+        n = len(b1)
+        if not n:
+            continue
+        change = np.flatnonzero((b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])) + 1
+        begin = np.concatenate([[0], change]) if key == (b1[0], b2[0]) else np.concatenate([[0, 0], change])
+        # The first bucket goes on from the batch before; it may have no row here.
+        end = np.append(begin[1:], n)
+        size = end - begin
+        two = np.zeros(len(begin), bool)
+        full = size > 0
+        two[full] = doc[begin[full]] != doc[end[full] - 1]
+        if held and full[0]:
+            two[0] |= held[0][0][0] != doc[end[0] - 1]
+        two[0] |= shared
+        out = [(d, p, np.full(len(d), number)) for d, p in held] if two[0] else []
+        if two[0] or len(begin) > 1:
+            held = []
+        # The last bucket isn't ended yet: its rows go out once it has two documents.
+        keep = np.repeat(two, size)
+        out.append((doc[keep], position[keep], np.repeat(np.arange(len(begin)) + number, size)[keep]))
+        key, shared = (b1[-1], b2[-1]), bool(two[-1])
+        if not shared:
+            held.append((doc[begin[-1] :], position[begin[-1] :]))
+        number += len(begin) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["doc_id", "position", "bucket"])
+
+
+def pointed(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+    """Of suffixes sorted by document and position: their bucket and the one ``step`` words later, where both are left."""
+    tail = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        new = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "position", "bucket"))
+        doc, position, bucket = (np.concatenate(x) for x in zip(tail, new))
+        if not len(doc):
+            continue
+        row = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (position[1:] >> _WORD != position[:-1] >> _WORD))])
+        place = (row << _WORD) | (position & ((1 << _WORD) - 1))
+        later = np.minimum(np.searchsorted(place, place + step), len(place) - 1)
+        # What lies within ``step`` of the end may have its later suffix in the next batch.
+        done = (row < row[-1]) | (place + step <= place[-1])
+        found = np.flatnonzero(done & (place[later] == place + step))
+        yield _pairs(bucket[found], bucket[later[found]], pa.array(doc[found]), position[found])
+        rest = int(np.flatnonzero(~done)[0]) if (~done).any() else len(done)
+        tail = [doc[rest:], position[rest:], bucket[rest:]]
+
+
+def _refine(pairs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from refined(batches, TaskContext.get().partitionId())
+
+    return pairs.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "doc_id").mapInArrow(run, _BUCKETS)
+
+
+def _point(buckets: DataFrame, step: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pointed(batches, step)
+
+    return buckets.repartition("doc_id").sortWithinPartitions("doc_id", "position").mapInArrow(run, _PAIRS)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,16 +211,16 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32())], names=["doc_id", "first_word", "n_words"])
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold suffixes of two documents."""
-    bucket = Window.partitionBy("bucket")
-    return rows.withColumn("low", F.min("doc_id").over(bucket)).withColumn("high", F.max("doc_id").over(bucket)).where("low < high").select("doc_id", "position")
-
-
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, first_word, n_words) of every stretch of at least ``MIN_WORDS`` words that other documents have too."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    rows = "bucket long, doc_id long, position int"
-    by_doc = _shared(texts.mapInArrow(_anchors, rows)).groupBy("doc_id").agg(F.collect_set("position").alias("positions"))
-    suffixes = texts.join(by_doc, "doc_id").select("doc_id", "text", "positions").mapInArrow(_suffixes, rows)
-    return _shared(suffixes).groupBy("doc_id").agg(F.collect_set("position").alias("positions")).mapInArrow(_stretches, "doc_id long, first_word int, n_words int")
+    word = F.col("position").bitwiseAND(F.lit((1 << _WORD) - 1)).cast("int")
+    positions = lambda rows: rows.groupBy("doc_id").agg(F.collect_set(word).alias("positions"))
+    hits = storage.written(positions(_refine(texts.mapInArrow(_anchors, _PAIRS))), "repeating-grams")
+    # Only texts with such a gram are exchanged.
+    wanted = docs.sparkSession.sparkContext.broadcast(members.of(hits.select("doc_id")))
+    near = texts.mapInArrow(members.filtered(wanted), texts.schema).join(hits.hint("merge"), "doc_id").select("doc_id", "text", "positions")
+    buckets = _refine(near.mapInArrow(_suffixes, _PAIRS))
+    for step in steps()[1:]:
+        buckets = _refine(_point(buckets, step))
+    return positions(buckets).mapInArrow(_stretches, "doc_id long, first_word int, n_words int")

@@ -357,14 +357,47 @@ def test_repeated_passages_of_rows_that_share_an_id(spark):
     assert sorted(tuple(r) for r in suffix_dedup.repeated_passages(docs).collect()) == [(1, 200, 60), (2, 0, 60)]
 
 
-def test_refinement_reaches_any_depth():
+@pytest.mark.parametrize("rows", [3, 40, 10_000])
+def test_refinements_reach_any_depth(rows):
+    """Kernels alone, over batches of any size: buckets after each refinement against the words themselves."""
     rng = np.random.default_rng(9)
-    words = textkit.mix64(rng.integers(0, 2, 400).astype(np.uint64) + np.uint64(1))
-    grams, _ = textkit.windows(words, np.array([0, 400]), 4)
-    deep = suffix_dedup.refine(grams, 4, 13)
-    for i in range(0, len(deep), 7):
-        for j in range(len(deep)):
-            assert (deep[i] == deep[j]) == (words[i : i + 13] == words[j : j + 13]).all()
+    docs = {d: rng.integers(0, 2, 300) for d in range(3)}
+    docs[2][50:200] = docs[0][100:250]
+    at = [(d, p) for d in docs for p in range(len(docs[d]) - 3)]
+    grams = {(d, p): int("".join(map(str, docs[d][p : p + 4])), 2) for d, p in at}
+    depth, goal = 4, 30
+    assert suffix_dedup.steps(depth, goal) == [4, 8, 14] and len(suffix_dedup.steps()) == 2
+    buckets = sorted((d, p, grams[d, p]) for d, p in at)
+
+    def cut(columns, names):
+        table = [np.array(c, np.int64) for c in zip(*columns)] if columns else [np.zeros(0, np.int64)] * len(names)
+        return (pa.RecordBatch.from_arrays([pa.array(c[k : k + rows]) for c in table], names=names) for k in range(0, len(table[0]), rows))
+
+    for step in suffix_dedup.steps(depth, goal):
+        pairs = [tuple(r.values()) for b in suffix_dedup.pointed(cut(buckets, ["doc_id", "position", "bucket"]), step) for r in b.to_pylist()]
+        have = {(d, p): b for d, p, b in buckets}
+        # What stands near the end of the last text can't be looked up, and needn't be.
+        assert {(d, p): (b1, b2) for b1, b2, d, p in pairs} == {(d, p): (b, have[d, p + step]) for (d, p), b in have.items() if (d, p + step) in have}
+        depth += step
+        got = [tuple(r.values()) for b in suffix_dedup.refined(cut(sorted(pairs, key=lambda x: x[:3]), ["b1", "b2", "doc_id", "position"])) for r in b.to_pylist()]
+        same = defaultdict(set)
+        for _, _, d, p in pairs:
+            same[tuple(docs[d][p : p + depth])].add((d, p))
+        want = {frozenset(x) for x in same.values() if len({d for d, _ in x}) > 1}
+        by_bucket = defaultdict(set)
+        for d, p, b in got:
+            by_bucket[b].add((d, p))
+        assert {frozenset(x) for x in by_bucket.values()} == want and want
+        buckets = sorted(got)
+
+
+def test_a_passage_in_many_documents(spark):
+    """One bucket of thousands of suffixes, and passages that differ in their last word only."""
+    passage = " ".join(f"w{i}" for i in range(50))
+    docs = spark.range(3000).selectExpr("id AS doc_id", f"concat('a', id, ' {passage} b', id) AS text")
+    docs = docs.unionByName(spark.range(3000, 3010).selectExpr("id AS doc_id", f"concat('{passage[:-3]} x', id) AS text"))
+    got = suffix_dedup.repeated_passages(docs).collect()
+    assert {tuple(r) for r in got} == {(i, 1, 50) for i in range(3000)}
 
 
 # 7: WARC
