@@ -8,8 +8,14 @@ otherwise; a join on it resolves payloads from a media table (digest, payload, m
 part in that exchange, never text; resolved payloads come back by (page, position), so the arrays stay
 aligned whatever was found.
 
+Markup is read as browsers read it: end tags that may be left out may be (a head ends where its first body element
+begins), script, style and the like hold text that isn't markup, an SVG that isn't closed ends at the next HTML element,
+``base`` changes what addresses are relative to, and content for browsers without scripts is content. An image's source
+is its lazy-loading address, else ``src``, else the largest of ``srcset``, else that of the ``picture`` around it.
+
 Defined cases: null or empty HTML gives an empty sequence; broken markup is read as far as it makes sense,
-open elements end with the page; a reference without a source is left out; a digest with several payloads
+open elements end with the page, a tag that isn't ended is dropped; pages of any length are read whole, in time in proportion to it;
+a second reference to the same source right after the first (as in ``noscript``) counts once; a reference without a source is left out; a digest with several payloads
 takes the smallest; unresolved references keep null ``payload`` and ``mime``; rows that share an id are
 told apart by a row number and each keep their sequence; columns of other names don't matter.
 """
@@ -28,12 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|head|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<(?P<close>/)?(?P<tag>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
+    r"(?P<text>[^<]++)"
+    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+)>"
+    r"|<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z|(?P<lone><)",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?+)?+")
+#: Elements whose text isn't markup, each with what ends it.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "title", "xmp", "iframe", "noembed", "noframes", "template")}
+_HEAD = frozenset("html head title meta link base basefont bgsound script style template noscript noframes".split())
+_OUT_OF_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_LAZY = ("data-src", "data-original", "data-lazy-src", "data-lazy")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_KINDS = {"img": "image", "image": "image", "video": "video", "audio": "audio", "source": None, "embed": "embed", "object": "embed", "iframe": "embed"}
+_KINDS = {"img": "image", "image": "image", "video": "video", "audio": "audio", "source": None, "embed": "embed", "object": "embed", "iframe": "embed", "input": "image"}
 _MEDIA = "(?i)<(?:" + "|".join(_KINDS) + r")\b"
 _SPACE = re.compile(r"\s+")
 
@@ -55,6 +70,32 @@ def digest(source: str) -> str:
     return hashlib.sha256(source.encode("utf-8", "replace")).hexdigest()
 
 
+def attributes(rest: str) -> dict[str, str]:
+    """The attributes of a tag; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").strip())
+    return out
+
+
+def largest(srcset: str) -> str | None:
+    """The candidate of a ``srcset`` with the largest width or density, the first of equal ones."""
+    best, most = None, -1.0
+    for m in re.finditer(r"\s*([^\s,]\S*?)(,+(?=\s|$)|\s+([^,]*)(?:,|$)|$)", srcset):
+        try:
+            size = float((m[3] or "1x").split()[0][:-1]) if (m[3] or "").strip() else 1.0
+        except ValueError:
+            size = 1.0
+        if size > most:
+            best, most = m[1], size
+    return best
+
+
+def _source(values: dict[str, str]) -> str | None:
+    lazy = next((values[k] for k in _LAZY if values.get(k)), None) or largest(values.get("data-srcset", ""))
+    return lazy or values.get("src") or largest(values.get("srcset", "")) or next((values[k] for k in ("data", "href", "xlink:href") if values.get(k)), None)
+
+
 def sequence(page: str | None, base: str | None) -> list[dict]:
     """The text blocks and media references of a page, in order."""
     items: list[dict] = []
@@ -63,6 +104,9 @@ def sequence(page: str | None, base: str | None) -> list[dict]:
     figure: int | None = None
     held: list[str] = []
     player: dict | None = None
+    picture: str | None = None
+    head, svg, based = False, False, False
+    page = page or ""
 
     def flush() -> None:
         text = _SPACE.sub(" ", "".join(words)).strip()
@@ -85,12 +129,27 @@ def sequence(page: str | None, base: str | None) -> list[dict]:
             items.append({"kind": "text", "text": text})
         figure = caption = None
 
-    for token in _TOKEN.finditer(page or ""):
-        if token["text"] is not None:
-            words.append(html.unescape(token["text"]))
+    at = 0
+    while token := _TOKEN.match(page, at):
+        at = token.end()
+        if token["text"] is not None or token["lone"]:
+            if not svg and not (head and token[0].isspace()):
+                head = False
+                words.append(html.unescape(token[0]))
             continue
         tag = (token["tag"] or "").lower()
-        if not tag or tag in _INLINE:
+        if not tag:
+            continue
+        if head and (tag not in _HEAD or (token["close"] and tag == "head")):
+            head = False
+        if svg and ((token["close"] and tag == "svg") or tag in _OUT_OF_SVG):
+            svg = False
+        if tag in _RAW and not token["close"]:
+            end = _RAW[tag].search(page, at)
+            at = end.end() if end else len(page)
+            if tag != "iframe":
+                continue
+        if tag in _INLINE:
             continue
         if token["close"]:
             flush()
@@ -100,6 +159,17 @@ def sequence(page: str | None, base: str | None) -> list[dict]:
                 close_figure()
             elif tag in ("video", "audio", "object"):
                 player = None
+            elif tag == "picture":
+                picture = None
+            continue
+        if tag == "head":
+            head = True
+        elif tag == "svg":
+            svg = not token["rest"].rstrip().endswith("/")
+        elif tag == "base" and not based:
+            address = attributes(token["rest"]).get("href")
+            base, based = (_join(base, address), True) if address else (base, False)
+        if svg and tag not in ("svg", "image"):
             continue
         flush()
         if tag == "figure":
@@ -108,16 +178,22 @@ def sequence(page: str | None, base: str | None) -> list[dict]:
             figure = len(items)
         elif tag == "figcaption" and figure is not None:
             caption = []
+        elif tag == "picture":
+            picture = ""
         elif tag in _KINDS:
-            values = {}
-            for m in _ATTRIBUTE.finditer(token["rest"]):
-                values.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
-            source = next((values[k].strip() for k in ("src", "data-src", "data", "href") if values.get(k, "").strip()), None)
+            values = attributes(token["rest"])
+            if tag == "input" and values.get("type", "").lower() != "image":
+                continue
+            source = _source(values)
             if tag == "source":
                 if player is not None and player["src"] is None and source:
                     player["src"] = _join(base, source)
+                elif picture == "" and source:
+                    picture = source
+                continue
+            item = {"kind": _KINDS[tag], "src": _join(base, source or (picture if tag == "img" else None)), "alt": values.get("alt") or values.get("title") or None}
+            if items and item["src"] and items[-1].get("src") == item["src"] and items[-1]["kind"] == item["kind"]:
                 continue
-            item = {"kind": _KINDS[tag], "src": _join(base, source), "alt": values.get("alt") or values.get("title") or None}
             items.append(item)
             if tag in ("video", "audio", "object") and not token["rest"].rstrip().endswith("/"):
                 player = item
