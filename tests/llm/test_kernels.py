@@ -5,6 +5,7 @@ import hashlib
 import re
 import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -285,6 +286,23 @@ def test_url_hits():
     assert hit("http://mycasinos.com/windows") == ([], [])
     assert hit("http://a.com/free/bets?bet=1") == ([], ["bet", "bets", "free"])
     assert hit("") == ([], [])
+    assert hit("http://a.com/%63asino%2Dwin") == (["casino"], ["win"]) and hit("http://a.com/%ff%") == ([], [])
+    assert hit("http://a.com/payday-loans") == (["payday-loans"], ["loans"])
+    rejects = lambda u: url_filter.rejects(*hit(u), url_filter.SOFT)
+    assert rejects("http://casino.example") and rejects("http://a.com/bet/bonus")
+    assert not rejects("http://a.com/bet") and not rejects("http://a.com/free/download")
+
+
+def test_url_vocabulary_of_a_table(spark, monkeypatch):
+    rows = [("Foo", True, 0.7), ("foo", False, 0.1), ("bar", False, None), (" baz", None, 0.2), (None, True, 1.0), ("", True, 1.0)]
+    table = spark.createDataFrame(rows, "term string, strict boolean, weight double")
+    strict, soft = url_filter.vocabulary(table)
+    assert (strict, soft) == ({"foo": 0.7}, {"bar": 1.0, "baz": 0.2})
+    pages = spark.createDataFrame([(1, "http://x/foo"), (2, "http://x/bar/baz"), (3, "http://x/baz")], "page_id long, url string")
+    assert sorted((r.page_id, r.rejected) for r in url_filter.judge(pages, strict=strict, soft=soft).collect()) == [(1, True), (2, True), (3, False)]
+    monkeypatch.setattr(url_filter, "MOST_TERMS", 2)
+    with pytest.raises(ValueError):
+        url_filter.vocabulary(table)
 
 
 def test_url_edge_cases(spark):
@@ -310,6 +328,68 @@ def test_sequence_order_captions_and_sources():
     assert media.digest("data:text/plain;base64,aGk=") == hashlib.sha256(b"hi").hexdigest() and media.digest("http://h/a") == hashlib.sha256(b"http://h/a").hexdigest()
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><body><p>Hello</p><img src=a.png>", ["Hello", "a.png"]),
+        ("<head><meta charset=x><p>Hello", ["Hello"]),
+        ("<img src='data:image/gif;base64,R0lGOD' data-src=real.png>", ["real.png"]),
+        ("<img srcset='s.png 320w, l.png 640w, m.png 480w'>", ["l.png"]),
+        ("<picture><source srcset='w.webp 1x'><img alt=x></picture>", ["w.webp"]),
+        ("<picture><source srcset='w.webp'><img src=f.jpg></picture>", ["f.jpg"]),
+        ("<img data-src=a.png><noscript><img src=a.png></noscript><noscript><img src=b.png></noscript>", ["a.png", "b.png"]),
+        ("<svg><title>no</title><text>no</text><image href=i.png><p>out", ["i.png", "out"]),
+        ("<base href='http://b/c/'><img src=d.png>", ["http://b/c/d.png"]),
+        ("a<!-- <p>b --><!-->c<script>'</p>'</script>d<p <img src=x.png>e", ["acd", "e"]),
+        ("1 < 2 &lt; 3<p title='>'>x</p><a href=\"unclosed", ["1 < 2 < 3", "x"]),
+        ("<object data=o.swf><p>instead</p></object><iframe src=f.html>no</iframe><input type=image src=i.png>", ["o.swf", "instead", "f.html", "i.png"]),
+    ],
+)
+def test_markup_as_browsers_read_it(page, want):
+    assert [x.get("text") or x["src"] for x in media.sequence(page, None)] == want
+
+
+class Parsed(HTMLParser):
+    """Text and image addresses of a page, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.text, self.sources, self.hidden = [], [], 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "title")
+        if tag == "img" and dict(attrs).get("src"):
+            self.sources.append(dict(attrs)["src"].strip())
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "title") and self.hidden > 0
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text.append(data)
+
+
+def test_sequences_equal_the_standard_parser_on_random_pages():
+    rng = np.random.default_rng(13)
+    pieces = ["<p>", "</p>", "<div class='a b'>", "</div>", "<b>", "</b>", "<li>", "<br/>", "<hr>", " word ", "&amp; x", "&eacute;", "&#33;", "<!-- <p>no</p> -->", "<td x=1>", "<script>if (a<b) '</p>';</script>", "<style>p{}</style>", "</nothing>", "<a href=\"x>y\">", "<P ID=q>", "<custom-tag>"]
+    for trial in range(300):
+        chosen = [pieces[k] if k < len(pieces) else f"<img {'alt=z ' * int(rng.integers(2))}src={q}i{trial}-{n}.png{q}{' ' if not q else ''}>" for n, (k, q) in enumerate(zip(rng.integers(0, len(pieces) + 4, 40), rng.choice(["'", '"', ""], 40)))]
+        page = "<!DOCTYPE html><html><head><title>t &lt;b></title><meta charset=x>" + "</head><body>" * int(rng.integers(2)) + "".join(chosen)
+        got, want = media.sequence(page, None), Parsed(page)
+        squeeze = lambda parts: "".join("".join(parts).split())
+        assert squeeze(x["text"] for x in got if x["kind"] == "text") == squeeze(want.text), page
+        assert [x["src"] for x in got if x["kind"] == "image"] == want.sources, page
+
+
+def test_long_and_broken_pages_take_time_in_proportion():
+    for piece in ("<", "<a ", "<a b='", "<!--", "<p title=\"", "<svg>", "</", "<script>", "<figure>", "&amp", "<img src=x>"):
+        begun = time.process_time()
+        media.sequence(piece * 60_000, "http://h/")
+        assert time.process_time() - begun < 8, piece
+
+
 def test_media_payloads_stay_aligned(spark):
     place = lambda k: f"http://h/{k}.png"
     rows = [(1, "http://h/", f"<p>a</p><img src={place(1)}><p>b</p><img src={place(2)}><img src={place(1)}>"), (2, None, None), (3, None, ""), (4, "http://h/", "<p><b>broken <figure><img src=1.png>"), (4, "http://h/", "<p><b>broken <figure><img src=1.png>"), (None, "http://h/", "<img src=1.png>")]
