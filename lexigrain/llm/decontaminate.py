@@ -9,11 +9,14 @@ is looked up, which by the pigeonhole principle finds all items within ``RADIUS`
 when the exact weighted similarity of the two multisets of shingles, sum of minima over sum of maxima with
 a shingle's bytes as its weight, reaches ``THRESHOLD``.
 
-Items are broadcast ``ITEMS_AT_ONCE`` at a time; a larger benchmark takes several passes over the documents.
-
-Defined cases: items of fewer than ``SHINGLE`` words can't be told from ordinary text and match nothing;
-null and wordless texts match nothing; repeated items each match; repeated documents each give their rows;
-columns of other names don't matter.
+Items are broadcast up to ``WORDS_AT_ONCE`` words at a time; a larger benchmark takes several passes over the
+documents, whose results are written to the shared folder one pass after the other, so neither driver nor workers
+ever hold more than one pass's index.
+
+Defined cases: items of fewer than ``SHINGLE`` words can't be told from ordinary text and match nothing; an empty
+benchmark matches nothing; null and wordless texts match nothing; a text of any length is read whole; items with
+text but without an id match like others, with a null ``item_id``; repeated items each match; repeated documents each
+give their rows; of equally similar windows the first counts; columns of other names don't matter.
 """
 
 from __future__ import annotations
@@ -27,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import textkit
+from lexigrain.llm import storage, textkit
 
 SHINGLE = 3
 THRESHOLD = 0.5
 RADIUS = 16
 BLOCKS = 4
 BITS = 64 // BLOCKS
-ITEMS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 2_000_000
 _TABLE_BITS = 22
 
 _NEIGHBOURS = np.array(
@@ -63,11 +66,11 @@ def fingerprints(value: np.ndarray, weight: np.ndarray, begin: np.ndarray, size:
 class Index:
     """The items of one pass: shingle postings and the block tables of their fingerprints."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
+    def __init__(self, ids: list[int | None], texts: list[str]) -> None:
         w = textkit.words(pa.array(texts, pa.string()))
         size = np.diff(w.first)
         long = np.flatnonzero(size >= SHINGLE)
-        self.ids, self.size = np.array(ids, np.int64), size
+        self.ids, self.size = pa.array(ids, pa.int64()), size
         value, at, weight = _shingles(w)
         owner = np.searchsorted(w.first, at, "right") - 1
         order = np.argsort(value, kind="stable")
@@ -154,16 +157,19 @@ class Index:
         return low / (total - low) if total > low else 1.0
 
 
-def _passes(benchmark: DataFrame) -> list[Index]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    out, ids, texts = [], [], []
+def _passes(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of the benchmark's items, one pass's at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    ids, texts, words = [], [], 0
     for r in items.orderBy("item_id", "text").toLocalIterator():
         ids.append(r["item_id"])
         texts.append(r["text"])
-        if len(ids) == ITEMS_AT_ONCE:
-            out.append(Index(ids, texts))
-            ids, texts = [], []
-    return [*out, Index(ids, texts)] if ids else out
+        words += r["text"].count(" ") + 1
+        if words >= WORDS_AT_ONCE:
+            yield Index(ids, texts)
+            ids, texts, words = [], [], 0
+    if ids:
+        yield Index(ids, texts)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -181,24 +187,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     found = shared.value.matches(part.column("text"))
                     row, item, first, size, similarity = map(list, zip(*found)) if found else ([],) * 5
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(shared.value.ids[np.array(item, np.int64)]), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(similarity, pa.float64())],
+                        [part.column("doc_id").take(pa.array(row, pa.int64())), shared.value.ids.take(pa.array(item, pa.int64())), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(similarity, pa.float64())],
                         names=["doc_id", "item_id", "first_word", "n_words", "similarity"],
                     )
 
         return texts.mapInArrow(run, schema)
 
-    passes = [one(index) for index in _passes(benchmark)]
-    if not passes:
+    out, last = None, None
+    for index in _passes(benchmark):
+        if last is not None:
+            done = storage.written(last, "matches")
+            out = done if out is None else out.unionByName(done)
+        last = one(index)
+    if last is None:
         return docs.sparkSession.createDataFrame([], schema)
-    out = passes[0]
-    for df in passes[1:]:
-        out = out.unionByName(df)
-    return out
+    return last if out is None else out.unionByName(last)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that match no item; filtered in the pass that finds the matches."""
+    """The documents that match no item; each pass filters what the one before it left."""
+    done = None
     for index in _passes(benchmark):
+        if done is not None:
+            kept = storage.written(docs, "uncontaminated")
+            if done is not True:
+                storage.drop(spark, done)
+            docs, done = kept, kept.lexigrain_path
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -208,5 +222,5 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
                     keep[[m[0] for m in shared.value.matches(part.column("text"))]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs, done = docs.mapInArrow(run, docs.schema), done or True
     return docs
