@@ -8,7 +8,8 @@ doesn't hold so many; the lengths left over are packed best-fit, longest first,
 
 Only the histogram (``SEQUENCE / GRAIN`` numbers) comes to the driver. A piece's sequence follows from its
 rank among the pieces of its length by arithmetic over the runs of equal patterns. Ranks come from counts
-per (length, shard) and a window within each shard, so that no task holds all pieces of a frequent length.
+per (length, shard) and a window within each shard, so that no task holds all pieces of a frequent length;
+shards are as many as the pieces need (beyond ``MOST_SHARDS`` they grow, and windows spill).
 
 Defined cases: null and empty texts have length 0 and are in no sequence; documents of a null id are packed
 like any; ties are ordered by id; repeated rows are packed each; columns of other names don't matter.
@@ -30,7 +31,9 @@ from lexigrain.llm import storage, subwords, textkit
 SEQUENCE = 2048
 GRAIN = 16
 PATTERN_PARTS = 3
-SHARDS = 64
+#: Pieces of one length that a task ranks, about; more pieces make more shards.
+SHARD_PIECES = 1 << 17
+MOST_SHARDS = 1 << 12
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,7 +156,10 @@ def _pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str = subwords.TOKENIZER) -> DataFrame:
     """(pack_id, doc_ids, pieces, lengths, n_tokens) of every sequence: its documents in order, which piece of each, and how many subwords."""
     spark: SparkSession = docs.sparkSession
-    pieces = storage.written(_pieces(docs, tokenizer).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS)).cast("int")), "pieces")
+    pieces = storage.written(_pieces(docs, subwords.shipped(spark, tokenizer)), "pieces")
+    most = pieces.groupBy("slot").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    shards = min(MOST_SHARDS, 1 + most // SHARD_PIECES)
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards)).cast("int"))
     counts = pieces.groupBy("slot", "shard").agg(F.count("*").alias("n")).collect()
     histogram = np.zeros(SEQUENCE // GRAIN, np.int64)
     for r in counts:
@@ -171,7 +177,7 @@ def pack(docs: DataFrame, tokenizer: str = subwords.TOKENIZER) -> DataFrame:
             at += each
         first += repeats
     ranked = pieces.withColumn("nth", F.row_number().over(Window.partitionBy("slot", "shard").orderBy("doc_id", "piece", "n_tokens")) - 1)
-    # Both small tables are bounded by the parameters: SHARDS x SEQUENCE / GRAIN rows, and the patterns in use.
+    # Both small tables are bounded by the parameters: MOST_SHARDS x SEQUENCE / GRAIN rows, and the patterns in use.
     offsets = spark.createDataFrame([(k[0], k[1], n) for k, n in before.items()], "slot int, shard int, before long")
     table = spark.createDataFrame(runs, "slot int, low long, high long, first long, each int, at int")
     placed = (
