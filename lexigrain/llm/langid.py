@@ -13,12 +13,13 @@ without labels, while a short text of a known language has low scores but known
 numbers and keys the reverse.
 
 The classifier is fitted on at most ``SAMPLE_PER_LANGUAGE`` labelled documents a language, those with the
-smallest hash of their id, and only so many of their pieces; scoring covers every piece of every document.
+smallest hash of id and text, and only so many of their pieces; scoring covers every piece of every document.
 ``MIN_SURE`` was chosen on sf0.1, one language left out of fitting at a time: of that language's rows 97 to 99 %
 are rejected, of held-out rows of the others about 0.2 %. A close relative of a labelled language can still pass.
 
-Defined cases: a null, empty or white-space text has no language and is rejected; rows without a label
-aren't used in fitting; with no labelled row at all every document is rejected; ties go to the language
+Defined cases: a null, empty or white-space text has no language and is rejected; a text of any length is scored
+whole; rows without a label aren't used in fitting, those without an id are like any other; a language whose labelled rows are all equal is fitted on them;
+with no labelled row at all every document is rejected; ties go to the language
 that sorts first; with a single language its score says nothing, and ``LONE_CONFIDENCE`` stands in; repeated rows and columns of other names don't matter.
 """
 
@@ -174,9 +175,14 @@ def fit_on(docs: DataFrame) -> Model | None:
     # Only hashes that can be among a language's smallest are ranked, so the exchange holds few texts.
     share = {k: 4 * SAMPLE_PER_LANGUAGE / n for k, n in counts.items()}
     limit = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(2**63 - 1 if v >= 1 else int(-(2**63) + v * 2**64)))])
-    labelled = docs.where("lang is not null and text is not null and length(trim(text)) > 0").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("pick"))
+    labelled = docs.where("lang is not null and text is not null and length(trim(text)) > 0").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("pick"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text"))
-    rows = labelled.where(F.col("pick") <= limit[F.col("lang")]).withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANGUAGE).select("lang", "text", "rank").collect()
+    sample = lambda some: some.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANGUAGE).select("lang", "text", "rank").collect()
+    rows = sample(labelled.where(F.col("pick") <= limit[F.col("lang")]))
+    # Where very many rows are equal, none may lie below the limit.
+    missed = sorted(set(counts) - {r["lang"] for r in rows})
+    if missed:
+        rows += sample(labelled.where(F.col("lang").isin(missed)))
     rows.sort(key=lambda r: (r["lang"], r["rank"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
