@@ -10,8 +10,9 @@ member a record, or any mix, is read alike. Paths are those of ``pyarrow.fs``: l
 
 Defined cases: an empty file gives an empty output and index; a stream that ends within a record gives the
 whole records before it and one index row of status ``truncated`` without a member; bytes that aren't a WARC
-record give a row of status ``malformed`` and end that file; null values become absent headers or an
-empty body; repeated records are kept; columns of other names don't matter.
+record, or one without a proper length, give a row of status ``malformed``, and reading goes on at the next line that
+begins a record; null values become absent headers or an empty body; bodies may be of any length that one worker's
+memory holds; repeated records are kept; columns of other names don't matter.
 """
 
 from __future__ import annotations
@@ -72,29 +73,46 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, st
                 return False
         return True
 
+    def skip() -> bool:
+        """Drops what stands before the next line that begins a record; False at the end of the file."""
+        at = 1
+        while (found := held.find(b"\nWARC/", at)) < 0:
+            del held[: max(0, len(held) - 8)]
+            at = 0
+            if not fill(len(held) + 1):
+                held.clear()
+                return False
+        del held[: found + 1]
+        return True
+
     while True:
         while fill(1) and held[:2] in (b"\r\n", b"\n"):
             del held[: 2 if held[:1] == b"\r" else 1]
         if not held:
             return
+        fill(5)
+        if not held.startswith(b"WARC/"):
+            yield {}, b"", "malformed"
+            if not skip():
+                return
+            continue
         at, searched = -1, 0
         while (at := held.find(b"\r\n\r\n", max(0, searched - 3))) < 0:
             searched = len(held)
             if not fill(len(held) + 1):
                 break
-        if not held.startswith(b"WARC/"):
-            yield {}, b"", "malformed"
-            return
         if at < 0:
             yield {}, b"", "truncated"
             return
         lines = held[:at].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        try:
-            size = int(headers.get("content-length", ""))
-        except ValueError:
+        length = headers.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
             yield headers, b"", "malformed"
-            return
+            if not skip():
+                return
+            continue
+        size = int(length)
         if not fill(at + 4 + size):
             yield headers, b"", "truncated"
             return
@@ -145,7 +163,8 @@ def normalise(spark: SparkSession, paths: list[str], folder: str) -> DataFrame:
                 rows = normalise_file(source, folder)
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.int64() if n in ("offset", "length", "size") else pa.string()) for n in _FIELDS]))
 
-    files = spark.createDataFrame([(p,) for p in sorted(paths)], "source string").repartition(max(1, len(paths)), "source")
+    # One file a task, whatever the hashes of their paths.
+    files = spark.createDataFrame(list(enumerate(sorted(paths))), "nth int, source string").repartitionById(max(1, len(paths)), "nth").select("source")
     return storage.written(files.mapInArrow(run, INDEX), "warc-index")
 
 
