@@ -8,13 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def one_machine(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one, as in tests, only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset a local one, as in tests, but never on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext._jsc.sc()
         kept = context.getCheckpointDir()
         if kept.isEmpty():
+            if not one_machine(spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrain-"))
             kept = context.getCheckpointDir()
         folder = kept.get()
@@ -37,10 +44,16 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table once and reads it again: later uses neither recompute it nor depend on lost executors."""
-    spark = df.sparkSession
+    """Writes a table once and reads it again: later uses neither recompute it nor depend on lost executors.
+
+    What its plan had exchanged is then garbage; Spark deletes such files once the driver's collector has seen that,
+    which on a driver with a large heap may be long after, so it is asked to look now.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = work_path(spark, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    spark.sparkContext._jvm.java.lang.System.gc()
+    out = spark.read.schema(schema).parquet(path)
     out.lexigrain_path = path
     return out

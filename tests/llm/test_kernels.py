@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrain.llm import decontaminate, langid, lm_score, media, packing, secret_scan, subwords, suffix_dedup, textkit, url_filter, warc
+from lexigrain.llm import decontaminate, langid, lm_score, media, packing, queries, secret_scan, storage, subwords, suffix_dedup, textkit, url_filter, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, "  \n\t"), (4, "one"), (5, "word " * 60_000), (6, "né à l'été 42"), (6, "né à l'été 42"), (None, "no id here"), (7, "tie tie tie"), (8, "tie tie tie")]
@@ -173,6 +173,16 @@ def test_decontamination_finds_passages(spark):
     assert kept == {r.doc_id for r in docs.collect()} - {d for d, _ in got}
 
 
+def test_decontamination_in_several_passes(spark, monkeypatch):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    one = sorted(tuple(r) for r in decontaminate.contaminated(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "WORDS_AT_ONCE", 200)
+    assert sum(1 for _ in decontaminate._passes(items)) > 2
+    assert one and sorted(tuple(r) for r in decontaminate.contaminated(docs, items).collect()) == one
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(spark, docs, items).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {r[0] for r in one}
+
+
 def brute_similarity(a, b):
     grams = lambda w: Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
     x, y, weigh = grams(a), grams(b), lambda c: sum(n * sum(len(s.encode()) for s in g) for g, n in c.items())
@@ -212,6 +222,12 @@ def test_hamming_lookup_finds_all_within_the_radius():
 def test_decontamination_edge_cases(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "tie tie"), (4, "tie tie tie"), (4, "tie tie tie"), (None, "one")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.contaminated(odd, items).collect()} == {7, 8}
+    unnamed = spark.createDataFrame([(None, "tie tie tie")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, unnamed).collect()} == {(7, None), (8, None)}
+    assert decontaminate.drop_contaminated(spark, odd, unnamed).count() == len(ODD) - 2
+    long = " ".join(f"w{i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, long + " the quick brown fox jumps over it " + long)], "doc_id long, text string")
+    assert [r.first_word for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, "the quick brown fox jumps over it")], "item_id long, text string")).collect()] == [100_000]
     assert decontaminate.contaminated(odd, items.limit(0)).count() == 0
     assert decontaminate.contaminated(empty, items).count() == 0
     assert decontaminate.drop_contaminated(spark, odd, items).count() == len(ODD) - 2
@@ -241,6 +257,13 @@ def test_language_kernel_equals_sets():
         assert kernel[i] == pytest.approx([len(mine & marks[k]) / np.sqrt(len(mine) * len(marks[k])) for k in ("de", "en")], rel=1e-5)
 
 
+def test_language_sample_of_equal_rows(spark):
+    """Rows of one id and text lie on one hash, whatever the language's size."""
+    rows = [(None, "le chat et le chien sont dans la maison", "fr")] * 2000 + [(i, f"the cat and the dog number {i} are in the house", "en") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit_on(docs).languages == ["en", "fr"]
+
+
 def test_language_edge_cases(spark, odd, empty):
     rows = langid.identify(odd).collect()
     assert len(rows) == len(ODD) and not any(r.accepted for r in rows)
@@ -403,6 +426,22 @@ def test_media_payloads_stay_aligned(spark):
     assert media.interleaved(pages.limit(0), stored).count() == 0
 
 
+def test_media_of_the_tables_equal_a_lookup(spark):
+    """The query against the kernel and a dictionary of payloads."""
+    got = {r.page_id: r for r in queries.op5_media_columns(spark, SF).collect()}
+    place = lambda k: f"https://media.example.org/{k}.bin"
+    stored = {hashlib.sha256(place(r.vec_id).encode()).hexdigest() for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        mine = got[p.page_id]
+        keys = [] if p.page_id % 3 == 0 else [p.page_id] if p.page_id % 3 == 1 else [p.page_id, p.page_id * 7]
+        want = [(place(k), f"Vector {k}", hashlib.sha256(place(k).encode()).hexdigest() in stored) for k in keys]
+        assert [(x.src, x.caption, x.payload is not None) for x in mine["items"] if x.kind == "image"] == want
+        plain = [x["text"] for x in media.sequence(p.html, p.url)]
+        assert [x.text for x in mine["items"] if x.kind == "text"] == plain and mine.n_text == len(plain) and mine.n_resolved == sum(w[2] for w in want)
+
+
 # 6: repeated passages
 
 
@@ -509,6 +548,19 @@ def test_warc_members_and_broken_files(spark, tmp_path):
             assert gzip.decompress(raw[r["offset"] : r["offset"] + r["length"]]) == parts[i]
 
 
+def test_warc_goes_on_after_a_malformed_record(spark, tmp_path):
+    good = [warc.record(f"http://{i}", f"urn:{i}", bytes([65 + i]) * 50) for i in range(4)]
+    bad = [good[1].replace(b"Content-Length: 50", b"Content-Length: x"), good[1].replace(b"Content-Length: 50", b"Content-Length: -5"), b"junk line\r\n\r\nmore junk\r\n" * 100_000]
+    (tmp_path / "out").mkdir()
+    for k, middle in enumerate(bad):
+        (tmp_path / f"{k}.warc.gz").write_bytes(gzip.compress(good[0] + middle + good[2] + good[3]))
+        rows = warc.normalise_file(str(tmp_path / f"{k}.warc.gz"), str(tmp_path / "out"))
+        assert [(r["status"], r["uri"]) for r in rows if r["status"] == "ok"] == [("ok", "http://0"), ("ok", "http://2"), ("ok", "http://3")]
+        assert [r["status"] for r in rows] == ["ok", "malformed", "ok", "ok"]
+    index = warc.normalise(spark, [str(tmp_path / f"{k}.warc.gz") for k in range(3)], str(tmp_path / "out"))
+    assert index.where("status = 'ok'").count() == 9 and warc.read_records(index).count() == 9
+
+
 # 8: packing
 
 
@@ -551,7 +603,9 @@ def test_plan_places_every_length_once():
         assert total <= 1.01 * best_fit(histogram) + 1
 
 
-def test_packs_hold_every_piece_once(spark, odd, empty):
+@pytest.mark.parametrize("pieces_a_shard", [packing.SHARD_PIECES, 3])
+def test_packs_hold_every_piece_once(spark, odd, empty, monkeypatch, pieces_a_shard):
+    monkeypatch.setattr(packing, "SHARD_PIECES", pieces_a_shard)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     packs = packing.pack(docs).collect()
     sizes = dict(zip([r.doc_id for r in docs.collect()], subwords.encoder().lengths(pa.array([r.text for r in docs.collect()])).tolist()))
@@ -691,5 +745,10 @@ def test_secret_edge_cases(spark, odd, empty):
     assert [r.begin for r in secret_scan.scan(docs).collect()] == [len(long) - 11] * 3
 
 
+def test_work_tables_need_a_shared_folder_on_a_cluster(spark):
+    assert storage.shared_dir(spark)
+    assert [storage.one_machine(m) for m in ("local", "local[8]", "local[*]", "local-cluster[3,2,1024]", "spark://h:7077", "yarn")] == [True] * 3 + [False] * 3
+
+
 def test_tables_are_there():
     assert pq.read_metadata(f"{SF}/documents.parquet").num_rows
