@@ -15,8 +15,9 @@ in the shared folder; each is then verified by itself, where a union-find gives
 global one would.
 
 Defined cases: a null or wordless text has an empty set and is in no group; a text under three words is
-one shingle of all its words; rows that share a ``doc_id`` are one document; a row without an id
-is left out; columns of other names don't matter.
+one shingle of all its words; a text of any length is read whole; rows that share a ``doc_id`` are one document, which
+is in the group of each of its texts; of equal texts the smallest id stays; a row without an id is in no group and
+stays; an empty table gives an empty result; columns of other names don't matter.
 """
 
 from __future__ import annotations

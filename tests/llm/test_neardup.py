@@ -57,6 +57,16 @@ def test_groups_of_copies_and_edge_cases(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_rows_that_share_an_id_and_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, None), (2, ""), (3, "  \n\t"), (4, "one"), (5, long), (6, "né à l'été 42"), (6, "né à l'été 42"), (None, "no id here"), (7, "tie tie tie"), (8, "tie tie tie"), (9, "quite another text than all of these"), (9, long + " end"), (10, None), (10, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keep_id", F.lit(None).cast("string")).withColumn("band", F.lit(0))
+    got = {r.doc_id: r.keep_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == {8: 7, 9: 5}
+    kept = [r.doc_id for r in neardup.drop_near_duplicates(spark, docs).collect()]
+    assert sorted((x or 0) for x in kept) == [0, 1, 2, 3, 4, 5, 6, 6, 7, 10, 10]
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -2,6 +2,9 @@
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexigrain.llm import decontaminate, langid, neardup, queries
 
@@ -31,6 +34,29 @@ def test_stages(spark, tmp_path):
     assert {d for p in docs.collect() for d in p.doc_ids} == ids[4]
 
 
+ODD = [(1, None), (2, ""), (3, "  \n\t"), (4, "one"), (5, "word " * 60_000), (6, "né à l'été 42"), (6, "né à l'été 42"), (None, "no id here"), (7, "tie tie tie"), (8, "tie tie tie"), (None, None)]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows_and_empty_tables(spark, name):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, an empty table and clashing columns."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    full = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    for c in full.columns[2:]:
+        docs = docs.withColumn(c, F.lit(None).cast(full.schema[c].dataType))
+    clash = docs.withColumn("language", F.lit(1)).withColumn("keep_id", F.lit("x")).withColumn("item_id", F.lit(2)).withColumn("position", F.lit(0)).withColumn("slot", F.lit(None).cast("int"))
+    left = {"language_id": set(), "near_dedup": {0, 1, 2, 3, 4, 5, 6, 7}, "decontamination": {0, *range(1, 9)}, "secret_scan": {0, *range(1, 9)}}
+    for table in (docs, clash):
+        got = stage(spark, table, SF)
+        if name == "packing":
+            held = {d for p in got.collect() for d in p.doc_ids}
+            assert held == {None, 4, 5, 6, 7, 8}
+        else:
+            assert got.columns == table.columns and {r.doc_id or 0 for r in got.collect()} == left[name]
+    assert stage(spark, full.limit(0), SF).count() == 0
+
+
 def test_run_gives_the_packs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
