@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
 as the next stage's documents. No stage can be put into SQL as a whole (kernels, sketches, fingerprints,
 lexing and least squares), so ``ORACLE_SQL`` is None and tests hold the stages against brute-force versions.
+
+Defined cases: stages pass rows on as they are, with all their columns, whatever their names and with nulls in any of
+them. A document whose text is null or empty goes with language ID; the later stages would keep it, and packing has no
+place for it. A row without an id is kept like any other; of rows that share an id all stay or all go. Repeated rows are
+near duplicates only if their ids differ. Texts of any length are read whole. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from lexigrain.llm import decontaminate, langid, neardup, packing, secret_scan,
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language isn't identified."""
+    """Drops documents whose language isn't identified, and so those without text."""
     return langid.keep_identified(spark, docs)
 
 
