@@ -13,11 +13,10 @@ from lexigrain.kernels.udf import ColumnLike, col, kernel
 
 
 def clean_address(c: ColumnLike) -> Column:
-    """JVM-side: the fixed point of taking out repeated spaces and commas, in closed form."""
-    # A run that holds a comma keeps one, and the space behind its last comma.
-    c = F.regexp_replace(col(c), r"(?U)[\s,]*,(\s?)\s*", ",$1")
-    c = F.regexp_replace(F.regexp_replace(c, r"(?U)\s{2,}", " "), r"(?U)^[\s,]+|[\s,]+$", "")
-    return F.regexp_replace(c, r"(?U),\s", ", ")
+    """JVM-side: one space or comma in place of a run of them, none at the ends."""
+    # A comma takes the spaces and commas before it; of several spaces after it one stays.
+    c = F.regexp_replace(F.regexp_replace(col(c), r"(?U)[\s,]*,\s{2,}", ", "), r"(?U)[\s,]*,(\s?)", ",$1")
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s{2,}", " "), r"(?U)^[\s,]+|[\s,]+$", "")
 
 
 def normalize_address(c: ColumnLike, latinize: bool = False, min_length: int = 4) -> Column:

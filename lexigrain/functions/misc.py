@@ -201,6 +201,7 @@ def is_lang_better(candidate: ColumnLike, baseline: ColumnLike) -> Column:
 
 # MIME types and file names
 
+MAX_FILE_NAME = 254
 DEFAULT_MIME, PLAIN_MIME = "application/octet-stream", "text/plain"
 
 
@@ -210,8 +211,11 @@ def parse_mimetype(c: ColumnLike, default: str = DEFAULT_MIME) -> Column:
     head = F.substring_index(c, ";", 1)
     good = (F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit(""))) == 1) & head.rlike(r"^\s*[^\s/;]+\s*/\s*[^\s/;]+\s*$")
     name = F.when(good, F.lower(F.regexp_replace(head, r"\s+", ""))).otherwise(F.lit(default.lower()))
-    fields = F.filter(F.transform(F.slice(F.split(c, r"\s*;\s*"), 2, 100), lambda x: T.strip(x)), lambda x: x.rlike("^[^=]+=."))
-    params = F.map_from_entries(F.transform(fields, lambda x: F.struct(F.lower(T.strip(F.substring_index(x, "=", 1))).alias("key"), F.regexp_replace(T.strip(F.regexp_replace(x, "^[^=]*=", "")), '^"|"$', "").alias("value"))))
+    fields = F.filter(F.transform(F.split(F.regexp_extract(c, r"(?s);(.*)$", 1), r"\s*;\s*"), lambda x: T.strip(x)), lambda x: x.rlike("^[^=]+=."))
+    entries = F.transform(fields, lambda x: F.struct(F.lower(T.strip(F.substring_index(x, "=", 1))).alias("key"), F.regexp_replace(T.strip(F.regexp_replace(x, "^[^=]*=", "")), '^"|"$', "").alias("value")))
+    # Of a parameter that is given more than once the first counts.
+    keys = F.transform(entries, lambda x: x["key"])
+    params = F.map_from_entries(F.filter(entries, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
     replaced = {r["key"]: r["value"] for r in refdata.rows("mime_replace")}
     return F.struct(
         F.substring_index(name, "/", 1).alias("family"),
@@ -278,11 +282,12 @@ def file_name(c: ColumnLike) -> Column:
 
 
 def safe_file_name(c: ColumnLike, extension: str | None = None) -> Column:
-    """A name of ASCII letters, digits, dashes, dots and underscores, with the extension."""
+    """A name of ASCII letters, digits, dashes, dots and underscores, with the extension; as long as file systems take, ``MAX_FILE_NAME``."""
     c = col(c)
     parts = file_name(c)
     ext = F.lit(extension) if extension else parts["extension"]
     base = F.regexp_replace(T.maybe_ascii(T.strip(F.regexp_replace(parts["base"], "^.*/", ""))), r"[^A-Za-z0-9_.\-]+", "_")
-    base = F.substring(F.regexp_replace(base, r"^[_.]+|[_.]+$", ""), 1, 200)
+    base = F.regexp_replace(base, r"^[_.]+|[_.]+$", "")
     base = F.when(base.isNull() | (base == ""), "data").otherwise(base)
-    return F.concat(base, F.when(ext.isNotNull(), F.concat(F.lit("."), ext)).otherwise(""))
+    tail = F.when(ext.isNotNull(), F.concat(F.lit("."), ext)).otherwise("")
+    return F.concat(F.substring(base, F.lit(1), F.greatest(F.lit(1), MAX_FILE_NAME - F.length(tail))), tail)

@@ -12,6 +12,8 @@ from lexigrain.kernels.udf import ColumnLike, col
 SCHEMES = ("http", "https", "ftp", "mailto", "file", "s3", "gs")
 _PARTS = r"^(?s)(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
+_BRACKETS = r"^(?:[^@]*@)?\[(?:[vV][0-9A-Fa-f]+\..+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\]\[]+)?)\](?::[^\[\]]*)?$"
+
 
 def split_url(c: ColumnLike) -> dict[str, Column]:
     c = F.regexp_replace(F.regexp_replace(col(c), r"^[\x{0}-\x{20}]+|[\x{0}-\x{20}]+$", ""), r"[\t\r\n]", "")
@@ -26,7 +28,9 @@ def _parts(c: Column) -> tuple[Column, dict[str, Column]]:
     parts["scheme"] = F.when(parts["scheme"] == "", "http").otherwise(F.lower(parts["scheme"]))
     path = F.regexp_replace(parts["path"], r"(?U)^\s+|\s+$", "")
     parts["path"] = F.when(path == "", "/").when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    return (parts["netloc"] != "") & parts["scheme"].isin(*SCHEMES), parts
+    # Brackets hold an IP address, and nothing else has them.
+    plain = ~parts["netloc"].rlike(r"[\[\]]") | parts["netloc"].rlike(_BRACKETS)
+    return (parts["netloc"] != "") & parts["scheme"].isin(*SCHEMES) & plain, parts
 
 
 def _join(p: dict[str, Column]) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Mapping
+from itertools import combinations
+
 from lexigrain.kernels import unicode
 from lexigrain.kernels.distance import levenshtein
 
+MAX_LENGTH = 384
 _SHARE = {"Latin": 1.0, "Cyrillic": 0.3, "Greek": 0.3}
 
 
@@ -40,39 +45,35 @@ def reduce_names(names: list[str]) -> list[str]:
     return [pick_case(g) for g in groups.values()]
 
 
-def pick_name(names: list[str]) -> str | None:
-    ordered = sorted((n for n in names if n is not None), key=str.encode)
-    mixed = len({s for n in ordered for s in unicode.scripts_in_order(n)}) > 1
-    weights: dict[str, float] = {}
-    surfaces: dict[str, dict[str, None]] = {}
-    latin = []
-    for name in ordered:
-        form = name.strip().casefold()
+def pick_name(names: Iterable[str | None] | Mapping[str, int]) -> str | None:
+    """The most central of the names, each given as often as it occurs or with its count: forms are weighed by how often
+    and how Latin they are written, and the form that is most like all others wins, in its best spelling."""
+    counts = Counter({n: k for n, k in names.items() if n is not None} if isinstance(names, Mapping) else (n for n in names if n is not None))
+    spelled = {n: n.strip().casefold() for n in sorted(counts, key=str.encode)}
+    mixed = len({s for n in spelled for s in unicode.scripts_in_order(n)}) > 1
+    weights: Counter[str] = Counter()
+    spellings: dict[str, list[str]] = {}
+    for name, form in spelled.items():
         if not form:
             continue
-        share = latin_share(name)
-        if share > 0.85:
-            latin.append(name)
-        weights[form] = weights.get(form, 0.0) + 1 + share
-        surfaces.setdefault(form, {})[name] = None
-        if mixed and unicode.should_ascii(form) and len(other := unicode.maybe_ascii(form)) > 2:
-            weights[other] = weights.get(other, 0.0) + 1 + share
-            if other != form:
-                surfaces.setdefault(other, {})[name] = None
-    if len(latin) == 1:
+        forms = [form]
+        if mixed and unicode.should_ascii(form) and len(plain := unicode.maybe_ascii(form)) > 2:
+            forms.append(plain)
+        for f in forms:
+            weights[f] += counts[name] * (1 + latin_share(name))
+        for f in dict.fromkeys(forms):
+            spellings.setdefault(f, []).append(name)
+    latin = [n for n, form in spelled.items() if form and latin_share(n) > 0.85]
+    if sum(counts[n] for n in latin) == 1:
         return latin[0]
-    forms = list(weights)
-    score = dict.fromkeys(forms, 0.0)
-    for i, a in enumerate(forms):
-        for b in forms[i + 1 :]:
-            x, y = a[:384], b[:384]
-            alike = 1 - levenshtein(x, y) / max(len(x), len(y), 1)
-            score[a] += alike * weights[a]
-            score[b] += alike * weights[b]
-    for form in sorted(forms, key=lambda f: -score[f]):
-        if form in surfaces:
-            return min(surfaces[form], key=lambda n: (-latin_share(n), case_error_score(n), len(n), n.encode()))
-    return None
+    alike: dict[str, list[float]] = {f: [] for f in weights}
+    for a, b in combinations(weights, 2):
+        x, y = a[:MAX_LENGTH], b[:MAX_LENGTH]
+        share = 1 - levenshtein(x, y) / max(len(x), len(y), 1)
+        alike[a].append(share * weights[a])
+        alike[b].append(share * weights[b])
+    best = max(weights, key=lambda f: sum(alike[f]), default=None)
+    return None if best is None else min(spellings[best], key=lambda n: (-latin_share(n), case_error_score(n), len(n), n.encode()))
 
 
 def representative_names(names: list[str], limit: int, threshold: float = 0.3) -> list[str]:
@@ -88,7 +89,7 @@ def representative_names(names: list[str], limit: int, threshold: float = 0.3) -
 
     def apart(a: str, b: str) -> float:
         x, y = plain[a], plain[b]
-        return (0 if x == y else levenshtein(x[:384], y[:384])) / max(len(x), len(y), 1)
+        return (0 if x == y else levenshtein(x[:MAX_LENGTH], y[:MAX_LENGTH])) / max(len(x), len(y), 1)
 
     seeds = [center]
     while len(seeds) < limit:

@@ -64,13 +64,21 @@ def frequent_forms(mapping: DataFrame, n: int = 50) -> DataFrame:
 
 
 def drop_subsets(mapping: DataFrame) -> DataFrame:
-    """Groups without those whose forms another has all; of equal groups the last stays. A join on forms, with counts instead of sets."""
+    """Groups without those whose forms another has all; of equal groups the last stays.
+
+    A group can only lie within groups that have its rarest form, so only these are looked at: a form that very many
+    groups share makes no square of them.
+    """
     rows = mapping.where("not skip").select("group", "form").distinct()
     sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
-    a, b = rows.select(F.col("group").alias("a"), "form"), rows.select(F.col("group").alias("b"), "form")
-    common = a.join(b, "form").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    sized = common.join(sizes.select(F.col("group").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("group").alias("b"), F.col("n").alias("n_b")), "b")
-    inside = sized.where("common = n_a and (n_a < n_b or a < b)").select(F.col("a").alias("group")).distinct()
+    spread = rows.groupBy("form").agg(F.count("*").alias("groups"))
+    rarest = rows.join(spread, "form").groupBy("group").agg(F.min_by("form", F.struct("groups", "form")).alias("form"))
+    larger = rows.join(sizes, "group").select(F.col("group").alias("b"), "form", F.col("n").alias("n_b"))
+    smaller = rarest.join(sizes, "group").select(F.col("group").alias("a"), "form", F.col("n").alias("n_a"))
+    maybe = smaller.join(larger, "form").where("a <> b and (n_a < n_b or (n_a = n_b and a < b))").select("a", "b", "n_a")
+    wanted = maybe.join(rows.select(F.col("group").alias("a"), "form"), "a")
+    common = wanted.join(rows.select(F.col("group").alias("b"), "form"), ["b", "form"]).groupBy("a", "b", "n_a").agg(F.count("*").alias("common"))
+    inside = common.where("common = n_a").select(F.col("a").alias("group")).distinct()
     return rows.join(inside, "group", "left_anti")
 
 

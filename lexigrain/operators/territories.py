@@ -7,7 +7,6 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexigrain import refdata
 from lexigrain.kernels import normal, unicode
@@ -111,33 +110,42 @@ def names(spark: SparkSession) -> DataFrame:
 
 
 def lookup_by_identifier(df: DataFrame, column: str) -> DataFrame:
-    """Adds ``territory``, by a join with the broadcast identifiers, of which there are a few thousand."""
-    ids = F.broadcast(identifiers(df.sparkSession).withColumnsRenamed({"identifier": "_id", "code": "territory"}))
-    return df.withColumn("_key", clean_code(column)).join(ids, F.col("_key") == F.col("_id"), "left").drop("_key", "_id")
+    """Adds or replaces ``territory``, by a join with the broadcast identifiers, of which there are a few thousand."""
+    ids = F.broadcast(identifiers(df.sparkSession).withColumnsRenamed({"identifier": "_id", "code": "_found"}))
+    keyed = df.withColumn("_key", clean_code(column))
+    return keyed.join(ids, F.col("_key") == F.col("_id"), "left").withColumn("territory", F.col("_found")).drop("_key", "_id", "_found")
+
+
+def territory_by_qid(df: DataFrame, column: str) -> DataFrame:
+    """Adds or replaces ``territory``: of an exact Wikidata item only, main or other."""
+    qids = df.sparkSession.createDataFrame([(q, t["code"]) for t in resolved() for q in t["qids"]], "_qid string, _found string").groupBy("_qid").agg(F.max("_found").alias("_found"))
+    return df.join(F.broadcast(qids), F.col(column) == F.col("_qid"), "left").withColumn("territory", F.col("_found")).drop("_qid", "_found")
 
 
 def lookup_territory(df: DataFrame, column: str, fuzzy: bool = False) -> DataFrame:
-    """Adds ``territory``: by identifier, then by name, then, if asked, by the nearest name. Work is done on distinct values, joined back."""
+    """Adds or replaces ``territory``: by identifier, then by name, then, if asked, by the nearest name. Work is done on distinct values, joined back."""
     spark = df.sparkSession
-    values = df.select(F.col(column).alias("_value")).where(F.col(column).isNotNull()).distinct()
-    found = lookup_by_identifier(values, "_value").withColumnRenamed("territory", "_by_id").withColumn("_norm", normalize_territory_name("_value"))
+    keyed = df.withColumn("_lookup", F.col(column))
+    values = keyed.select("_lookup").where("_lookup is not null").distinct()
+    found = lookup_by_identifier(values, "_lookup").withColumnRenamed("territory", "_by_id").withColumn("_norm", normalize_territory_name("_lookup"))
     dim = names(spark)
     known = F.broadcast(dim.select(F.col("name_norm").alias("_name"), F.col("code").alias("_by_name")))
-    found = found.join(known, F.col("_norm") == F.col("_name"), "left").withColumn("_code", F.coalesce("_by_id", "_by_name")).select("_value", "_norm", "_code")
+    found = found.join(known, F.col("_norm") == F.col("_name"), "left").select("_lookup", "_norm", F.coalesce("_by_id", "_by_name").alias("_code"))
     if fuzzy:
-        near = _fuzzy(found.where("_code is null").select("_value", "_norm"), dim)
-        found = found.join(near, "_value", "left").withColumn("_code", F.coalesce("_code", "_near"))
-    return df.join(found.select(F.col("_value"), F.col("_code").alias("territory")), F.col(column) == F.col("_value"), "left").drop("_value")
+        found = _nearest(found, dim)
+    found = found.select("_lookup", "_code")
+    return keyed.join(found, "_lookup", "left").withColumn("territory", F.col("_code")).select(*df.columns, *([] if "territory" in df.columns else ["territory"]))
 
 
-def _fuzzy(values: DataFrame, dim: DataFrame) -> DataFrame:
-    """The nearest name within three tenths of the length; of equally near ones the first."""
+def _nearest(found: DataFrame, dim: DataFrame) -> DataFrame:
+    """``_code`` of what has none yet: the nearest name within three tenths of the length; of equally near ones the first.
+    A value meets only names of a length that can be near enough, by an equi join with the broadcast names."""
     cutoff = F.floor(F.length("_norm") * 0.3).cast("int")
-    close = F.broadcast(dim.where("length(name_norm) > 4"))
-    pairs = values.withColumn("_cutoff", cutoff).join(close, F.abs(F.length("_norm") - F.length("name_norm")) <= F.col("_cutoff"))
-    scored = pairs.withColumn("_d", F.levenshtein("_norm", "name_norm")).where("_d <= _cutoff")
-    best = Window.partitionBy("_value").orderBy("_d", "ord")
-    return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("_value", F.col("code").alias("_near"))
+    lengths = F.when(F.col("_code").isNull() & (F.length("_norm") > 0), F.sequence(F.length("_norm") - cutoff, F.length("_norm") + cutoff))
+    close = F.broadcast(dim.where("length(name_norm) > 4").select("name_norm", "ord", F.col("code").alias("_near"), F.length("name_norm").alias("_size")))
+    pairs = found.withColumn("_size", F.explode_outer(lengths)).join(close, "_size", "left").withColumn("_d", F.levenshtein("_norm", "name_norm"))
+    best = F.min(F.when(F.col("_d") <= cutoff, F.struct("_d", "ord", "_near")))["_near"]
+    return pairs.groupBy("_lookup", "_code").agg(best.alias("_best")).select("_lookup", F.coalesce("_code", "_best").alias("_code"))
 
 
 def territories_intersect(left: ColumnLike, right: ColumnLike) -> Column:

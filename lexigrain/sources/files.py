@@ -8,8 +8,8 @@ from pyspark.sql.types import StructType
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines with a declared schema; blank lines are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines with a declared schema; blank lines are left out, and a line that isn't JSON ends the job."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

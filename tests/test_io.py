@@ -1,5 +1,9 @@
 """Readers, writers, streams and the contract of the entry module."""
 
+import random
+
+import pytest
+
 import __spark_entry__ as entry_module
 from lexigrain import refdata
 from lexigrain.functions import urls
@@ -21,6 +25,20 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
 
 
+def test_a_line_that_isnt_json_ends_the_job(spark, tmp_path):
+    (tmp_path / "bad.jsonl").write_text('{"n": 1}\n{"n": \n')
+    with pytest.raises(Exception):
+        files.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "n int").collect()
+
+
+def test_drop_subsets_equals_sets(spark):
+    rng = random.Random(3)
+    groups = {f"g{i}": {f"f{rng.randrange(6)}" for _ in range(rng.randrange(1, 6))} | ({"common"} if i % 2 else set()) for i in range(40)}
+    mapping = spark.createDataFrame([(0, f, g, False, None, None) for g, fs in groups.items() for f in fs], corpus.SCHEMA)
+    want = {g for g, fs in groups.items() if not any(g != o and fs <= os and (fs < os or g < o) for o, os in groups.items())}
+    assert {r.group for r in corpus.drop_subsets(mapping).collect()} == want
+
+
 def test_scalar_operators_on_a_stream(spark, tmp_path):
     source = spark.createDataFrame([("https://www.a.com/x",), ("b.com",), ("nope",)], "url string")
     source.write.parquet(str(tmp_path / "in"))

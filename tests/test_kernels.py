@@ -4,18 +4,21 @@ import itertools
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexigrain.functions import addresses as A
+from lexigrain.functions import misc, urls
 from lexigrain.functions import names as NF
 from lexigrain.functions import text as T
-from lexigrain.kernels import addresses, bags, distance, names, normal, org_types, unicode
+from lexigrain.kernels import addresses, bags, distance, names, normal, org_types, pairs, unicode
 from lexigrain.kernels.needles import Needles
 from lexigrain.kernels.phonetics import metaphone
 from lexigrain.operators import names as ops
+from lexigrain.operators import territories
 
 SAMPLES = ["", " ", "Bashar al-Assad", "O’Brien  (jr.)", "Straße №5", "中国 ー々", "a﷽b", "ǅ x", "¼ ½ x²", "$100 €5", "x­​y", "Ä̈́", "क्षि ab", "\x1c\x1d tab\t", "İ İ", "ʹʼ ʰ", "１２ ⅫⅣ", "mixed🎉emoji", "no line", "_under_score"]
 
@@ -39,12 +42,47 @@ def test_tokens_equal_the_model(spark, values):
     assert [r[0] for r in df.select(T.tokenize_name("s")).collect()] == [list(normal.tokens(v)) for v in values]
 
 
-def test_clean_address_equals_the_loop(spark):
+def test_clean_address_is_where_no_rule_applies_any_more(spark):
+    """Against rewriting one place at a time."""
+    rules = [(r"\s\s+", " "), (r"\s,", ","), (r",,+", ","), (r"\A[,\s]", ""), (r"[,\s]\Z", "")]
+
+    def rewritten(text):
+        while True:
+            after = next((new for rule, by in rules if (new := re.sub(rule, by, text, count=1)) != text), text)
+            if after == text:
+                return text
+            text = after
+
     parts = ["a", " ", ",", ",,", "  ", "b", " ,", "\n", ", "]
     values = ["".join(p) for n in range(1, 5) for p in itertools.product(parts, repeat=n)][:6000]
+    assert [addresses.clean(v) for v in values] == [rewritten(v) for v in values]
     df = spark.createDataFrame([(v,) for v in values], "s string")
-    wrong = [(r[0], r[1]) for r in df.select("s", A.clean_address("s")).collect() if addresses.clean(r[0]) != r[1]]
-    assert len(wrong) <= 0.02 * len(values), wrong[:5]
+    assert [r[0] for r in df.select(A.clean_address("s")).collect()] == [addresses.clean(v) for v in values]
+
+
+def test_pairs_compared_in_batches_equal_one_by_one(spark):
+    rng = np.random.default_rng(4)
+    words = "john mary o'brien smith johnson petrov ivanov garcia müller schmidt acme trading limited holdings 12 2024 b".split()
+
+    def name():
+        tokens = ["".join(c if rng.random() > 0.1 else str(rng.choice(list("abo01l "))) for c in words[k]) for k in rng.integers(0, len(words), rng.integers(0, 6))]
+        return names.Name(" ".join(tokens))
+
+    left, right = [name() for _ in range(600)], [name() for _ in range(600)]
+    right[::3] = [names.Name(a.original.replace("o", "0", 1)[:-1] + " x") for a in left[::3]]
+    long = names.Name(" ".join(f"part{i}" for i in range(120)))
+    left[0], right[0], right[1] = long, long, long
+    for config in (names.CompareConfig(), names.CompareConfig(cost_confusable=0.3, budget_tolerance=2.0, cluster_overlap_min=0.2)):
+        got = pairs.compare_parts([[p.comparable for p in a.parts] for a in left], [[p.comparable for p in b.parts] for b in right], config)
+        for a, b, found in zip(left, right, got):
+            want = names.compare_parts(a.parts, b.parts, config)
+            assert [([p.index for p in x.qps], [p.index for p in x.rps]) for x in want] == [c[:2] for c in found]
+            assert [x.score for x in want] == pytest.approx([c[2] for c in found], abs=1e-12)
+    record = NF.name_record
+    df = spark.createDataFrame([(i, record(a), record(b)) for i, (a, b) in enumerate(zip(left[:200], right[:200]))], f"k long, left {NF.NAME}, right {NF.NAME}")
+    for r in ops.compare_parts(df).collect():
+        want = names.compare_parts(left[r.k].parts, right[r.k].parts)
+        assert [(x.qps, x.rps, x.category, x.qstr, x.rstr) for x in r.result] == [([p.index for p in x.qps], [p.index for p in x.rps], None, x.qstr, x.rstr) for x in want]
 
 
 def test_metaphone_equals_the_jvm_class(spark):
@@ -203,6 +241,63 @@ def test_grouped_choices_equal_the_kernels(spark):
     assert {(r.k, r.n) for r in ops.reduce_names(df, ["k"], "n").collect()} == {(k, n) for k in "ab" for n in bags.reduce_names(bag(k))}
 
 
+def test_grouped_choices_count_names(spark):
+    rows = [("a", "John Smith", "eng")] * 50 + [("a", "Jon Smyth", "deu"), ("a", "Johann Schmidt", "deu"), ("b", "Zed", "xxx"), ("b", None, "eng")]
+    df = spark.createDataFrame(rows, "k string, n string, lang string")
+    bag = lambda k: [n for x, n, _ in rows if x == k and n]
+    assert {r.k: r.n for r in ops.pick_name(df, ["k"], "n").collect()} == {k: bags.pick_name(bag(k)) for k in "ab"}
+    assert {r.k: r.n for r in ops.representative_names(df, ["k"], "n", 2).collect()} == {k: bags.representative_names(sorted(set(bag(k))), 2) for k in "ab"}
+    assert {r.k: r.n for r in ops.pick_lang_name(df, ["k"], "n", "lang").collect()} == {k: bags.pick_lang_name([(n, lang) for x, n, lang in rows if x == k and n], "eng", misc.PREFERRED_LIST) for k in "ab"}
+
+
+def test_consolidation_of_persons_takes_words_in_any_order(spark):
+    rows = [("a", 1, "John Smith"), ("a", 2, "Smith Peter John"), ("a", 3, "John John"), ("b", 1, "Ann Lee"), ("b", 2, "Lee Ann")]
+    df = spark.createDataFrame(rows, "k string, i int, n string")
+    kept = lambda person: {(r.k, r.i) for r in ops.consolidate_names(df, "k", "i", "n", person).collect()}
+    assert kept(True) == {("a", 2), ("a", 3), ("b", 1)} and len(kept(False)) == 5
+
+
+def test_frequent_keys_can_be_left_out(spark):
+    rows = [(f"e{i}", "ORG", [f"Acme Holding {w}"]) for i, w in enumerate("alpha beta gamma alpha".split())]
+    named = ops.analyze_names(spark.createDataFrame(rows, "entity_id string, type_tag string, names array<string>"))
+    every = ops.candidate_pairs(named, named).where("left_id < right_id")
+    frequent = ops.frequent_keys(named, 3)
+    some = ops.candidate_pairs(named, named, without=frequent).where("left_id < right_id")
+    assert every.count() == 6 and frequent.count() >= 1 and {tuple(r) for r in some.collect()} == {("e0", "e3")}
+
+
+def test_phrases_of_any_length_match(spark):
+    phrase = "one two three four five six seven eight nine ten"
+    tokens = spark.createDataFrame([("x", f"so {phrase} it is".split())], "entity_id string, tokens array<string>")
+    needles = spark.createDataFrame([(phrase, "NAME", "Q1"), ("so", "NAME", "Q2")], "phrase string, category string, id string")
+    assert {r.id for r in ops.tag_by_join(tokens, needles).collect()} == {"Q1", "Q2"}
+
+
+def test_mime_types_and_urls_that_are_malformed(spark):
+    values = ["text/html; charset=a; charset=b", "text/html; " + "; ".join(f"p{i}={i}" for i in range(300)), "text/html", None]
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = [r[0] for r in df.select(misc.parse_mimetype("s")["params"]).collect()]
+    assert got[0] == {"charset": "a"} and len(got[1]) == 300 and got[2] == {}
+    assert [r[0] for r in df.select(misc.mimetype_charset("s")).collect()][0] == "utf-8"
+    hosts = [("http://[::1", None), ("http://::1]/", None), ("http://[::1]/a", "http://[::1]/a"), ("http://u@[fe80::1%25eth0]:80/", "http://u@[fe80::1%25eth0]:80/"), ("http://a[b]c/", None), ("http://a.com/[x]", "http://a.com/[x]")]
+    df = spark.createDataFrame(hosts, "s string, want string")
+    assert [tuple(r) for r in df.select("want", urls.clean_url("s")).collect()] == [(w, w) for _, w in hosts]
+    df = spark.createDataFrame([("x" * 400 + ".pdf",)], "s string")
+    assert len(df.select(misc.safe_file_name("s")).first()[0]) == 254
+
+
+def test_lookups_replace_a_column_of_their_name(spark):
+    df = spark.createDataFrame([("Germany", "old"), ("Frannce", "x"), (None, "y"), ("Q145", "z")], "v string, territory string")
+    for fuzzy, want in ((False, {"Germany": "de", "Frannce": None, None: None, "Q145": "gb"}), (True, {"Germany": "de", "Frannce": "fr", None: None, "Q145": "gb"})):
+        found = territories.lookup_territory(df, "v", fuzzy)
+        assert found.columns == ["v", "territory"] and {r.v: r.territory for r in found.collect()} == want
+        assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    own = territories.lookup_territory(df.select(F.col("v").alias("territory")), "territory")
+    assert own.columns == ["territory"] and {r.territory for r in own.collect()} == {"de", None, "gb"}
+    assert {r.v: r.territory for r in territories.territory_by_qid(df, "v").collect()} == {"Germany": None, "Frannce": None, None: None, "Q145": "gb"}
+    assert {r.v: r.territory for r in territories.lookup_by_identifier(df, "v").collect()}["Q145"] == "gb"
+
+
 def test_prefixes_equal_the_kernel(spark):
     values = ["Mr. Dr John Smith", "-- The Bank", "M/V Ship", "Lady", "Sir  Elton"]
     df = spark.createDataFrame([(v,) for v in values], "s string")
