@@ -71,10 +71,41 @@ def _pieces(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(begin, at[-1]), row
 
 
+@dataclass
+class Grams:
+    """The column of each known n-gram, ``width`` for others. Trigrams are looked up by their first two bytes and then
+    the third, so the tables are small enough for a core's cache."""
+
+    width: int
+    short: np.ndarray
+    block: np.ndarray
+    cells: np.ndarray
+
+    @staticmethod
+    def of(features: np.ndarray) -> Grams:
+        kind = np.uint32 if len(features) >= 65535 else np.uint16
+        short = np.full(_SPAN[2], len(features), kind)
+        few = features < _SPAN[2]
+        column = np.arange(len(features))
+        short[features[few]] = column[few]
+        codes = features[~few] - _SPAN[2]
+        begins, at = np.unique(codes & 0xFFFF, return_inverse=True)
+        block = np.zeros(1 << 16, np.int32)
+        block[begins] = np.arange(1, len(begins) + 1)
+        cells = np.full((len(begins) + 1, 256), len(features), kind)
+        cells[at + 1, codes >> 16] = column[~few]
+        return Grams(len(features), short, block, cells)
+
+    def columns(self, n: int, codes: np.ndarray) -> np.ndarray:
+        if n < 3:
+            return self.short[_SPAN[n - 1] + codes]
+        return self.cells.reshape(-1)[(self.block[codes & 0xFFFF] << 8) + (codes >> 16)]
+
+
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray
+    grams: Grams
     landmarks: np.ndarray
     weights: np.ndarray
     bias: np.ndarray | None = None
@@ -89,7 +120,7 @@ class Model:
             if not len(codes):
                 continue
             # An n-gram belongs to the piece where it begins, but must not cross into another text's piece.
-            column = self.table[_SPAN[n - 1] + codes]
+            column = self.grams.columns(n, codes)
             mine = owner[: len(codes)]
             inside = mine == owner[n - 1 :] if n > 1 else np.ones(len(codes), bool)
             mine, column = mine[inside], column[inside]
@@ -118,12 +149,10 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     marks = np.concatenate([_spread(picked[target[picked] == k], LANDMARKS_PER_LANGUAGE) for k in range(len(languages))])
     sets = [np.unique(np.concatenate([_SPAN[n] + c for n, c in enumerate(_codes(data[begin[i] : begin[i + 1]]))])) for i in marks]
     features = np.unique(np.concatenate(sets))
-    table = np.full(_SPAN[2] + (1 << 24), len(features), np.uint32 if len(features) >= 65535 else np.uint16)
-    table[features] = np.arange(len(features))
     landmarks = np.zeros((len(features), len(marks)), np.float32)
     for k, own in enumerate(sets):
         landmarks[np.searchsorted(features, own), k] = 1 / np.sqrt(len(own))
-    model = Model(languages, table, landmarks, np.eye(len(marks), dtype=np.float32))
+    model = Model(languages, Grams.of(features), landmarks, np.eye(len(marks), dtype=np.float32))
     spectrum, vectors = np.linalg.eigh((landmarks.T @ landmarks).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(spectrum, 1e-6))
     rows = [model.score(data[begin[i] : begin[i + 1]], np.array([0, begin[i + 1] - begin[i]]))[0] for i in picked]
