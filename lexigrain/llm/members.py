@@ -51,18 +51,22 @@ def may_hold(words: np.ndarray, ids: pa.Array) -> np.ndarray:
     return held & pc.is_valid(ids).to_numpy(zero_copy_only=False)
 
 
-def filtered(shared: Broadcast, column: str = "doc_id", within: bool = True):
-    """For mapInArrow: the rows whose id the filter may hold, or all others."""
+def filtered(shared: Broadcast, column: str = "doc_id", within: bool = True, then=None):
+    """For mapInArrow: the rows whose id the filter may hold, or all others; ``then`` goes on with them in the same worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(may_hold(shared.value, batch.column(column)) == within))
 
-    return run
+    return run if then is None else lambda batches: then(run(batches))
 
 
-def without(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """Anti-join in which only rows that the filter can't tell from a member are exchanged; a null id stays."""
+def without(df: DataFrame, ids: DataFrame, column: str = "doc_id", then=None, schema: str | None = None) -> DataFrame:
+    """Anti-join in which only rows that the filter can't tell from a member are exchanged; a null id stays.
+
+    ``then``, a function for mapInArrow, is applied to what is left, in the workers that filter, so that a task needs one.
+    """
     shared = df.sparkSession.sparkContext.broadcast(of(ids.select(column)))
-    unsure = df.mapInArrow(filtered(shared, column), df.schema).join(ids.select(column).hint("merge"), column, "left_anti")
-    return df.mapInArrow(filtered(shared, column, False), df.schema).unionByName(unsure.select(*df.columns))
+    unsure = df.mapInArrow(filtered(shared, column), df.schema).join(ids.select(column).hint("merge"), column, "left_anti").select(*df.columns)
+    sure = df.mapInArrow(filtered(shared, column, False, then), schema or df.schema)
+    return sure.unionByName(unsure if then is None else unsure.mapInArrow(then, schema))

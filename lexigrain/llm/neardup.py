@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,13 +138,14 @@ def _shingles(wanted):
     return run
 
 
-def _verified(group: pd.DataFrame) -> pd.DataFrame:
+def _verified(group: pa.Table) -> pa.Table:
     """Union-find over the pairs of one component that pass the exact test. All pairs of the component are tested,
     until it is known to be one group. Rows that share an id are one document."""
-    ids = group["doc_id"].to_numpy()
+    ids = group.column("doc_id").to_numpy()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
-    sets = [np.frombuffer(group["shingles"].iloc[i], np.uint64) for i in order]
+    shingles = group.column("shingles").combine_chunks()
+    sets = [np.frombuffer(shingles[i].as_buffer(), np.uint64) for i in order]
     n, sizes = len(ids), np.array([len(s) for s in sets])
     value, column = np.unique(np.concatenate(sets), return_inverse=True)
     column = column.astype(np.int32)
@@ -166,7 +166,7 @@ def _verified(group: pd.DataFrame) -> pd.DataFrame:
         if len(linked) > 1:
             label[np.isin(label, linked)] = linked[0]
     textkit.release()
-    return pd.DataFrame({"doc_id": ids, "group_id": ids[label]})
+    return pa.table({"doc_id": ids, "group_id": ids[label]})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     exact = storage.written(sketched.select("doc_id", "digest", "size").join(lowest, ["digest", "size"]).where("doc_id <> keep_id").select("doc_id", "keep_id").distinct(), "copies")
     # Copies take no part in the search.
     slim = sketched.select("doc_id", "size", "sketch")
-    bands = members.without(slim, exact).select("doc_id", "sketch").mapInArrow(_bands, "band long, doc_id long")
+    bands = members.without(slim.select("doc_id", "sketch"), exact, then=_bands, schema="band long, doc_id long")
     band = Window.partitionBy("band")
     center = F.min_by("doc_id", F.xxhash64("doc_id", "band")).over(band)
     shared = bands.select("band", "doc_id", F.min("doc_id").over(band).alias("low"), F.max("doc_id").over(band).alias("high"), center.alias("center")).where("low < high")
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         storage.drop(spark, done.lexigrain_path)
     wanted = context.broadcast(members.of(found.select("doc_id")))
     sets = texts.mapInArrow(_shingles(wanted), "doc_id long, shingles binary").join(found.hint("merge"), "doc_id").select("component", "doc_id", "shingles")
-    near = storage.written(sets.groupBy("component").applyInPandas(_verified, "doc_id long, group_id long").where("doc_id <> group_id"), "near")
+    near = storage.written(sets.groupBy("component").applyInArrow(_verified, "doc_id long, group_id long").where("doc_id <> group_id"), "near")
     moved = exact.join(near.select(F.col("doc_id").alias("keep_id"), "group_id"), "keep_id", "left").select("doc_id", F.coalesce("group_id", "keep_id").alias("keep_id"))
     return moved.unionByName(near.select("doc_id", F.col("group_id").alias("keep_id"))).distinct()
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BYTES = np.array(
     [chr(b).isalnum() if b < 128 else True for b in range(256)], dtype=bool
