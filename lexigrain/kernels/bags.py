@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Mapping
 from itertools import combinations
+from math import fsum
 
 from lexigrain.kernels import unicode
 from lexigrain.kernels.distance import levenshtein
@@ -72,7 +73,7 @@ def pick_name(names: Iterable[str | None] | Mapping[str, int]) -> str | None:
         share = 1 - levenshtein(x, y) / max(len(x), len(y), 1)
         alike[a].append(share * weights[a])
         alike[b].append(share * weights[b])
-    best = max(weights, key=lambda f: sum(alike[f]), default=None)
+    best = max(weights, key=lambda f: fsum(alike[f]), default=None)
     return None if best is None else min(spellings[best], key=lambda n: (-latin_share(n), case_error_score(n), len(n), n.encode()))
 
 

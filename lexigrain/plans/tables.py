@@ -202,37 +202,60 @@ def corpus_block_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.block_phrases(rows, contains=["a"]).select("p_partkey", "skip")
 
 
-# Reference data as dimensions: counted in SQL over the same rows as literals would only repeat them, so rows only.
-
-
-@query()
+# Reference data as dimensions, against SQL over the packaged Parquet.
+
+_packaged = lambda name: f"read_parquet('{refdata.path(name)}')"
+_RESOLVED = f"""
+    WITH RECURSIVE base AS (SELECT * FROM {_packaged("territories")}),
+    up AS (
+        SELECT code, code AS at, 0 AS depth FROM base
+        UNION ALL SELECT up.code, base.parent, depth + 1 FROM up JOIN base ON base.code = up.at WHERE base.parent IS NOT NULL),
+    seen AS (SELECT up.code, depth, base.* EXCLUDE (code), base.code AS node FROM up JOIN base ON base.code = up.at),
+    resolved AS (
+        SELECT b.code, b.name, b.full_name, b.alpha3, b.qid, b.parent, coalesce(b.in_sentence, b.name) AS in_sentence, b.is_country, b.is_ftm,
+            list_sort(list_distinct(list_filter(list_append(b.other_qids, b.qid), lambda x: x IS NOT NULL))) AS qids,
+            list_sort(list_distinct(list_filter(list_concat(b.other_codes, [b.code, b.alpha3]), lambda x: x IS NOT NULL))) AS codes,
+            (SELECT min_by(s.region, s.depth) FROM seen s WHERE s.code = b.code AND s.region IS NOT NULL) AS region,
+            (SELECT min_by(s.subregion, s.depth) FROM seen s WHERE s.code = b.code AND s.subregion IS NOT NULL) AS subregion,
+            (SELECT min_by(s.node, s.depth) FROM seen s WHERE s.code = b.code AND s.is_ftm) AS ftm_country
+        FROM base b)"""
+_DIMENSION = ["code", "name", "full_name", "alpha3", "qid", "qids", "codes", "parent", "region", "subregion", "in_sentence", "is_country", "is_ftm", "ftm_country"]
+
+
+@query(f"{_RESOLVED} SELECT {', '.join(_DIMENSION)} FROM resolved")
 def territory_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return territories.territories(spark)
+    return territories.territories(spark).select(*_DIMENSION)
 
 
-@query()
+@query(f"{_RESOLVED} SELECT code, name, region FROM resolved WHERE is_ftm")
 def territory_ftm_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return territories.ftm_countries(spark)
+    return territories.ftm_countries(spark).select("code", "name", "region")
 
 
-@query()
+@query(f"{_RESOLVED} SELECT code, name, region, parent FROM resolved")
 def territory_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return territories.to_json(territories.territories(spark))
+    rows = territories.to_json(territories.territories(spark))
+    return rows.select("code", *[F.get_json_object("json", f"$.{c}").alias(c) for c in ("name", "region", "parent")])
 
 
 _LOOKUPS = [("UK", "gb", "gb"), ("Q30", "us", "us"), ("GBR", "gb", "gb"), ("Germany", "de", "de"), ("TGermany", None, "de"), ("Narnia", None, None), ("great britain", "gb", "gb"), ("Frannce", None, "fr"), ("United States", "us", "us"), ("Российская Федерация", "ru", "ru"), ("European Union", "eu", "eu"), ("Kosovo", "xk", "xk"), ("Palestine", "ps", "ps"), ("Taiwan", "tw", "tw"), ("Abkhazia", "ge-ab", "ge-ab"), ("North Macedonia", "mk", "mk")]
 
 
-@query("SELECT * FROM (VALUES {}) t(value, exact, fuzzy)".format(", ".join(f"({literal(a)}, {literal(b)}, {literal(c)})" for a, b, c in _LOOKUPS)))
+@query("SELECT c_custkey, value, exact, fuzzy FROM customer JOIN (VALUES {}) t(n, value, exact, fuzzy) ON c_custkey % {} = n".format(", ".join(f"({i}, {literal(a)}, {literal(b)}, {literal(c)})" for i, (a, b, c) in enumerate(_LOOKUPS)), len(_LOOKUPS)))
 def territory_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = spark.createDataFrame([(v,) for v, _, _ in _LOOKUPS], "value string")
+    """Every customer with a place as people write it, looked up with and without near names."""
+    spelled = F.array(*[F.lit(v) for v, _, _ in _LOOKUPS])
+    values = table(spark, sf_dir, "customer").select("c_custkey", F.get(spelled, (F.col("c_custkey") % len(_LOOKUPS)).cast("int")).alias("value"))
     exact = territories.lookup_territory(values, "value").withColumnRenamed("territory", "exact")
     return territories.lookup_territory(exact, "value", fuzzy=True).withColumnRenamed("territory", "fuzzy")
 
 
-@query("SELECT * FROM (VALUES ('us', 'us'), ('USA', 'us'), ('Q145', 'gb'), ('xx', NULL)) t(value, territory)")
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'us' WHEN 1 THEN 'us' WHEN 2 THEN 'gb' END AS territory, CASE s_suppkey % 4 WHEN 2 THEN 'gb' END AS by_qid FROM supplier")
 def territory_by_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return territories.lookup_by_identifier(spark.createDataFrame([("us",), ("USA",), ("Q145",), ("xx",)], "value string"), "value")
+    values = F.get(F.array(*map(F.lit, ("us", "USA", "Q145", "xx"))), (F.col("s_suppkey") % 4).cast("int"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", values.alias("value"))
+    by_qid = territories.territory_by_qid(rows, "value").withColumnRenamed("territory", "by_qid")
+    return territories.lookup_by_identifier(by_qid, "value").drop("value")
 
 
 @query("SELECT * FROM (VALUES {}) t(name, title, strong)".format(", ".join(f"({literal(f.name)}, {literal(f.title)}, {literal(f.strong)})" for f in ids.FORMATS.values())))
@@ -240,68 +263,95 @@ def identifier_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.formats_frame(spark)
 
 
-@query()
+@query(f"SELECT list, unnest(words) AS word FROM {_packaged('word_lists')}")
 def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refdata.frame(spark, "word_lists").select("list", F.explode("words").alias("word"))
 
 
-@query()
+@query(f"SELECT number, unnest(forms) AS form FROM {_packaged('ordinals')}")
 def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refdata.frame(spark, "ordinals").select("number", F.explode("forms").alias("form"))
 
 
-# Names: entities of suppliers and customers, whose names have a word and a number.
+# Names: brands with the names of their parts, suppliers and customers with a word and a number, pairs of parts.
 
 
-def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return part.groupBy(F.col("p_brand").alias("entity_id")).agg(F.sort_array(F.collect_set("p_name")).alias("names")).select("entity_id", F.lit("ORG").alias("type_tag"), F.slice("names", 1, 20).alias("names"))
+@query("SELECT DISTINCT p_brand AS entity_id, p_name AS norm_form, string_split(p_name, ' ') AS comparable FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_name <> a.p_name AND contains(b.p_name, a.p_name))")
+def analyze_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of a brand's parts that no other contains, taken apart."""
+    brands = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("entity_id")).agg(F.sort_array(F.collect_set("p_name")).alias("names"))
+    found = name_ops.analyze_names(brands.select("entity_id", F.lit("ORG").alias("type_tag"), "names"))
+    return found.select("entity_id", "name.norm_form", F.transform("name.parts", lambda p: p["comparable"]).alias("comparable"))
 
 
-@query()
-def analyze_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_ops.analyze_names(_entities(spark, sf_dir))
+def _single(spark: SparkSession, sf_dir: str, source: str, key: str, name: str) -> DataFrame:
+    rows = table(spark, sf_dir, source).select(F.col(key).cast("string").alias("entity_id"), F.lit("ORG").alias("type_tag"), F.array(name).alias("names"))
+    return name_ops.analyze_names(rows)
 
 
 @query("SELECT s_suppkey, CAST(regexp_extract(s_name, '(\\d+)', 1) AS BIGINT) AS number FROM supplier")
 def supplier_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numeric part of suppliers' names, as analysis finds it."""
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("entity_id"), F.lit("ORG").alias("type_tag"), F.array("s_name").alias("names"))
-    found = name_ops.analyze_names(rows).select(F.col("entity_id").cast("bigint").alias("s_suppkey"), F.explode("name.parts").alias("p")).where("p.numeric")
+    found = _single(spark, sf_dir, "supplier", "s_suppkey", "s_name").select(F.col("entity_id").cast("bigint").alias("s_suppkey"), F.explode("name.parts").alias("p")).where("p.numeric")
     return found.select("s_suppkey", F.col("p.integer").alias("number"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier names beside part names that share a key; the numbers make few."""
-    rows = table(spark, sf_dir, "supplier").where("s_suppkey <= 200").select(F.col("s_suppkey").cast("string").alias("entity_id"), F.lit("ORG").alias("type_tag"), F.array("s_name").alias("names"))
-    named = name_ops.analyze_names(rows)
-    pairs = name_ops.candidate_pairs(named, named).where("left_id < right_id").orderBy("left_id", "right_id").limit(2000)
-    return pairs.join(named.select(F.col("entity_id").alias("left_id"), F.col("name").alias("left")), "left_id").join(named.select(F.col("entity_id").alias("right_id"), F.col("name").alias("right")), "right_id")
+    """Suppliers beside the customers whose names share a key with theirs, which their numbers are."""
+    left, right = _single(spark, sf_dir, "supplier", "s_suppkey", "s_name"), _single(spark, sf_dir, "customer", "c_custkey", "c_name")
+    pairs = name_ops.candidate_pairs(left, right)
+    return pairs.join(left.select(F.col("entity_id").alias("left_id"), F.col("name").alias("left")), "left_id").join(right.select(F.col("entity_id").alias("right_id"), F.col("name").alias("right")), "right_id")
+
 
+_SAME_NUMBER = "FROM supplier JOIN customer ON regexp_extract(s_name, '[0-9]+') = regexp_extract(c_name, '[0-9]+')"
 
-@query()
+
+@query(f"SELECT CAST(s_suppkey AS VARCHAR) AS left_id, CAST(c_custkey AS VARCHAR) AS right_id {_SAME_NUMBER}")
 def name_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("left_id", "right_id")
 
 
-@query()
+@query(f"SELECT CAST(s_suppkey AS VARCHAR) AS left_id, CAST(c_custkey AS VARCHAR) AS right_id, 'NUM' AS category, CAST(CAST(regexp_extract(s_name, '[0-9]+') AS BIGINT) AS VARCHAR) AS id, 1.0::DOUBLE AS score {_SAME_NUMBER}")
 def name_pair_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_ops.pair_symbols(_pairs(spark, sf_dir))
+    """The one set of symbols that a supplier and a customer share: their number."""
+    found = name_ops.pair_symbols(_pairs(spark, sf_dir))
+    return found.select("left_id", "right_id", F.explode("result").alias("set")).select("left_id", "right_id", F.explode("set").alias("x")).select("left_id", "right_id", "x.category", "x.id", "x.score")
 
 
-@query()
-def name_compare_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_ops.compare_parts(_pairs(spark, sf_dir))
+def _part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parts of one brand and size, with their names as objects."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", names.name_object("p_name", "ORG").alias("name"))
+    a, b = (part.select("p_brand", "p_size", F.col("p_partkey").alias(f"{side}_key"), F.col("name").alias(side)) for side in ("left", "right"))
+    return a.join(b, ["p_brand", "p_size"]).where("left_key < right_key").select("left_key", "right_key", "left", "right")
 
 
-@query()
-def name_align_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_ops.align_person_name_order(_pairs(spark, sf_dir))
+@query("""WITH pairs AS (SELECT a.p_partkey AS left_key, b.p_partkey AS right_key, string_split(a.p_name, ' ') AS x, string_split(b.p_name, ' ') AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)
+    SELECT left_key, right_key, x[i] AS word, i - 1 AS place FROM pairs, (VALUES (1), (2)) t(i) WHERE x[i] = y[i]""")
+def name_compare_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that two parts' names have in the same place are aligned without cost; what is aligned at some cost isn't in SQL's reach."""
+    found = name_ops.compare_parts(_part_pairs(spark, sf_dir)).select("left_key", "right_key", F.explode("result").alias("x"))
+    exact = found.where("x.qstr = x.rstr and x.score = 1.0 and size(x.qps) = 1")
+    return exact.select("left_key", "right_key", F.col("x.qstr").alias("word"), F.get("x.qps", 0).alias("place"))
 
 
-@query()
+@query("""SELECT p_partkey, CASE WHEN length(split_part(p_name, ' ', 1)) >= length(split_part(p_name, ' ', 2)) THEN [0, 1] ELSE [1, 0] END AS left_order,
+    CASE WHEN length(split_part(p_name, ' ', 1)) >= length(split_part(p_name, ' ', 2)) THEN [1, 0] ELSE [0, 1] END AS right_order FROM part""")
+def name_align_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names as persons' with a given and a family name, beside the same in the other order: the longer name comes first on both sides."""
+    words = F.split("p_name", " ")
+    tags = F.array(F.struct(F.lit("GIVEN").alias("tag"), F.slice(words, 1, 1).alias("values")), F.struct(F.lit("FAMILY").alias("tag"), F.slice(words, 2, 1).alias("values")))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("entity_id"), F.lit("PER").alias("type_tag"), F.array("p_name").alias("names"), F.array(F.array_join(F.reverse(words), " ")).alias("turned"), tags.alias("part_tags"))
+    left, right = name_ops.analyze_names(part), name_ops.analyze_names(part.withColumn("names", F.col("turned")))
+    pairs = left.select("entity_id", F.col("name").alias("left")).join(right.select("entity_id", F.col("name").alias("right")), "entity_id")
+    return name_ops.align_person_name_order(pairs).select(F.col("entity_id").cast("bigint").alias("p_partkey"), F.col("result.left").alias("left_order"), F.col("result.right").alias("right_order"))
+
+
+@query("""WITH n AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY 1, 2),
+    scored AS (SELECT a.p_brand, a.p_name, round(a.n * 2 * fsum(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))), 9) AS score FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name <> b.p_name GROUP BY a.p_brand, a.p_name, a.n)
+    SELECT p_brand, p_name FROM scored QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_name) = 1""")
 def name_pick_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_ops.pick_name(table(spark, sf_dir, "part").where("p_size <= 5"), ["p_brand"], "p_name")
+    """The most central name of all parts of a brand."""
+    return name_ops.pick_name(table(spark, sf_dir, "part"), ["p_brand"], "p_name")
 
 
 @query("SELECT p_brand, lower(p_name) AS form, min(p_name) AS p_name FROM part GROUP BY 1, 2")
@@ -309,10 +359,12 @@ def name_reduce_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_ops.reduce_names(table(spark, sf_dir, "part"), ["p_brand"], "p_name")
 
 
-@query("SELECT grp, pos, name FROM (VALUES ('a', 1, 'John Smith'), ('a', 2, 'John Smith Jr'), ('a', 3, 'JOHN SMITH'), ('b', 1, 'Acme')) t(grp, pos, name) WHERE NOT (grp = 'a' AND pos IN (1, 3))")
+@query("SELECT p_partkey, 2 AS pos, concat(p_name, ' ', p_type) AS name FROM part")
 def name_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("a", 1, "John Smith"), ("a", 2, "John Smith Jr"), ("a", 3, "JOHN SMITH"), ("b", 1, "Acme")], "grp string, pos int, name string")
-    return name_ops.consolidate_names(rows, "grp", "pos", "name")
+    """A part's name, in capitals and with its type: the last contains the others."""
+    forms = F.array("p_name", F.upper("p_name"), F.concat_ws(" ", "p_name", "p_type"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(forms).alias("pos", "name"))
+    return name_ops.consolidate_names(rows, "p_partkey", "pos", "name")
 
 
 @query("SELECT p_partkey, regexp_matches(p_name, '[A-Za-z]') AS is_name, regexp_full_match(p_name, '[\\x00-\\x7f]*') AS is_latin FROM part")

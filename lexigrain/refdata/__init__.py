@@ -12,15 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 FOLDER = Path(__file__).resolve().parent
 
 
+def path(name: str) -> str:
+    """Where a table is packaged."""
+    return str(FOLDER / f"{name}.parquet")
+
+
 @cache
 def rows(name: str) -> list[dict]:
     """A table as dictionaries; read once a process."""
-    return pq.read_table(FOLDER / f"{name}.parquet").to_pylist()
+    return pq.read_table(path(name)).to_pylist()
 
 
 def frame(spark: SparkSession, name: str) -> DataFrame:
     """A table as a DataFrame. It travels in the plan, so executors need no file of ours."""
-    return spark.createDataFrame(pq.read_table(FOLDER / f"{name}.parquet"))
+    return spark.createDataFrame(pq.read_table(path(name)))
 
 
 @cache

@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from lexigrain.plans import tables
+from lexigrain.plans import derived, tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,6 +40,14 @@ def test_equals_sql(spark, duck, name):
     assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == want
 
 
+@pytest.mark.parametrize("name", sorted(derived.CASES))
+def test_columns_equal_sql(spark, duck, name):
+    case = derived.CASES[name]
+    got = {r["key"]: plain(r["result"]) for r in case.query(spark, SF).collect()}
+    want = {k: plain(v) for k, v in duck.execute(case.sql()).fetchall()}
+    assert got and got == want
+
+
 @pytest.mark.parametrize("name", sorted(set(tables.QUERIES) - set(tables.SQL)))
 def test_has_rows(spark, name):
     assert tables.QUERIES[name](spark, SF).count() > 0
