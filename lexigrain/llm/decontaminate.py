@@ -34,7 +34,7 @@ from lexigrain.llm import storage, textkit
 
 SHINGLE = 3
 THRESHOLD = 0.5
-RADIUS = 16
+RADIUS = 20
 BLOCKS = 4
 BITS = 64 // BLOCKS
 WORDS_AT_ONCE = 2_000_000
