@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from lexigrain.functions import text as T
-from lexigrain.functions.names import NAME, case_error_score, name_from, name_record
+from lexigrain.functions.names import NAME, SPAN, case_error_score, name_from, name_record
 from lexigrain.kernels import bags, names
 from lexigrain.kernels import pairs as pairs_kernel
 
@@ -41,7 +41,7 @@ def analyze_names(entities: DataFrame, infer_initials: bool = False, symbols: bo
     """(entity_id, name) from (entity_id, type_tag, names array[, part_tags array<struct<tag, values>>]).
 
     ``corpus`` holds lines ``form, form => id`` of person names, sent with the plan: a larger one belongs in a
-    table that ``tag_by_join`` joins.
+    table, by which ``tag_names`` adds the same spans.
     """
     records = tuple(names.read_corpus(corpus or ()))
     if "part_tags" not in entities.columns:
@@ -65,6 +65,34 @@ def tag_by_join(tokens: DataFrame, needles: DataFrame, longest: int | None = Non
     return exploded.join(needles, "phrase")
 
 
+def tag_names(named: DataFrame, needles: DataFrame, longest: int | None = None) -> DataFrame:
+    """The names (entity_id, name) with a span more for each phrase of ``needles`` (phrase, category, id) among their parts.
+
+    This is how a table of person names of any size tags names: phrases are joined, not sent with the plan. A phrase
+    stands for parts in a row; one that occurs again, or again in ``needles``, gives one span a place.
+    """
+    if longest is None:
+        longest = needles.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+    keyed = named.withColumn("_row", F.xxhash64("entity_id", F.to_json("name"))).withColumn("_row2", F.md5(F.to_json("name")))
+    forms, size = F.transform("name.parts", lambda p: p["form"]), F.size("name.parts")
+    runs = F.filter(
+        F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1)), lambda n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice(forms, i, n), " ").alias("phrase"))))),
+        lambda x: x["phrase"] != "",
+    )
+    found = keyed.where(size > 0).select("_row", "_row2", F.col("name.parts").alias("_parts"), F.explode(runs).alias("x")).select("_row", "_row2", "_parts", "x.i", "x.n", "x.phrase")
+    found = found.join(needles.select("phrase", "category", "id").distinct(), "phrase")
+    span = F.struct(
+        F.transform(F.sequence(F.col("i") - 1, F.col("i") + F.col("n") - 2), lambda k: k.cast("int")).alias("part_idx"),
+        F.col("category").cast("string").alias("category"),
+        F.col("id").cast("string").alias("id"),
+        F.array_join(F.transform(F.slice("_parts", F.col("i"), F.col("n")), lambda p: p["comparable"]), " ").alias("comparable"),
+    )
+    spans = found.groupBy("_row", "_row2").agg(F.sort_array(F.collect_set(span)).alias("_spans"))
+    joined = keyed.join(spans, ["_row", "_row2"], "left")
+    both = F.concat("name.spans", F.coalesce(F.array_except("_spans", "name.spans"), F.array().cast(f"array<{SPAN}>")))
+    return joined.withColumn("name", F.col("name").withField("spans", both)).select(*named.columns)
+
+
 def blocking_keys(named: DataFrame, initials: bool = False) -> DataFrame:
     """(entity_id, key): symbols, comparables and sounds of a name's parts. Initials stand in too many names to block by."""
     spans = F.filter("name.spans", lambda s: F.lit(initials) | (s["category"] != "INITIAL"))

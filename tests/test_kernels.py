@@ -266,6 +266,18 @@ def test_frequent_keys_can_be_left_out(spark):
     assert every.count() == 6 and frequent.count() >= 1 and {tuple(r) for r in some.collect()} == {("e0", "e3")}
 
 
+def test_names_tagged_by_a_table_equal_those_tagged_by_lines(spark):
+    lines = ["john, jon => Q1", "maria, mary => Q2", "van der berg, vanderberg => Q3", "smith, schmidt => Q4"]
+    people = [("a", ["John Smith"]), ("b", ["Mary van der Berg", "Berg Mary"]), ("c", ["Nobody Here"]), ("c", ["Nobody Here"]), ("d", ["John John"]), ("e", [])]
+    entities = spark.createDataFrame([(i, "PER", n) for i, n in people], "entity_id string, type_tag string, names array<string>")
+    needles = spark.createDataFrame([(form, "NAME", line.split(" => ")[1]) for line in lines for form in line.split(" => ")[0].split(", ")], "phrase string, category string, id string")
+    spans = lambda df: sorted((r.entity_id, r.name.norm_form, sorted((s.category, s.id, tuple(s.part_idx), s.comparable) for s in r.name.spans)) for r in df.collect())
+    plain = ops.analyze_names(entities, symbols=True)
+    got = ops.tag_names(plain, needles)
+    assert got.columns == plain.columns and spans(got) == spans(ops.analyze_names(entities, symbols=True, corpus=lines))
+    assert ops.tag_names(plain, needles.limit(0)).count() == plain.count()
+
+
 def test_phrases_of_any_length_match(spark):
     phrase = "one two three four five six seven eight nine ten"
     tokens = spark.createDataFrame([("x", f"so {phrase} it is".split())], "entity_id string, tokens array<string>")
