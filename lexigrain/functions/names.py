@@ -142,6 +142,17 @@ def name_object(c: ColumnLike, tag: str = "UNK") -> Column:
     return F.get(kernel(lambda x: [name_record(names.Name(x, tag=tag))], f"array<{NAME}>", c), 0)
 
 
+def name_contains(a: ColumnLike, b: ColumnLike, tag: str = "ORG") -> Column:
+    """Whether a name contains another of its kind: by substring, or a person's by its words in any order. Kernel."""
+    return kernel(lambda x, y: names.Name(x, tag=tag).contains(names.Name(y, tag=tag)), "boolean", a, b)
+
+
+def tag_order(c: ColumnLike) -> Column:
+    """Where a tag stands among the parts of a sorted name, as a literal table; array_sort by it sorts parts."""
+    table = F.create_map(*[F.lit(x) for t in (*names.TAG_ORDER, "STOP") for x in (t, names.tag_rank(t))])
+    return F.element_at(table, col(c))
+
+
 def tag_phrases(c: ColumnLike, kind: str = "org") -> Column:
     """array<struct<phrase, category, id>> that a tagger finds in a normalised name."""
     tagger = names.org_tagger if kind == "org" else names.person_tagger

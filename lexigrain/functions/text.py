@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from enum import IntEnum, IntFlag
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexigrain import refdata
 from lexigrain.kernels import distance, phonetics, unicode
+from lexigrain.kernels.needles import Needles
 from lexigrain.kernels.udf import ColumnLike, col, kernel
 
 MAX_NAME_LENGTH = 384
@@ -289,3 +291,21 @@ def soundex(c: ColumnLike) -> Column:
     c = col(c)
     letters = _sub(c, "[^A-Za-z]")
     return F.when(c.isNull(), None).when(c.rlike(r"^\p{ASCII}*$") & (letters != ""), F.soundex(letters)).otherwise("")
+
+
+def find_needles(c: ColumnLike, needles: dict[str, str], overlapping: bool = False) -> Column:
+    """array<struct<begin, end, payload>> of the phrases of a dictionary in a text: from the left and without overlaps, the
+    longest at each place, or all of them. A hit touches no word character on either side. Kernel; one automaton a worker."""
+    entries = tuple(needles.items())
+
+    def found(text: str) -> list[dict]:
+        machine = _machine(entries)
+        hits = machine.overlapping(text) if overlapping else machine.found(text)
+        return [{"begin": a, "end": b, "payload": x} for a, b, x in hits]
+
+    return kernel(found, "array<struct<begin:int,end:int,payload:string>>", c)
+
+
+@lru_cache(8)
+def _machine(entries: tuple[tuple[str, str], ...]) -> Needles:
+    return Needles(entries)

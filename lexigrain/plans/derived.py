@@ -260,4 +260,16 @@ _MORE: dict[str, Derived] = {
     "url_clean_compare": Derived("pages", ["concat(replace(url, 'http://', 'https://www.'), '?')"], urls.clean_url_compare, "replace(CASE WHEN length(url) - length(replace(url, '/', '')) = 2 THEN concat(url, '/') ELSE url END, 'www.', '')", where="url LIKE 'http://%' AND url NOT LIKE '%?%' AND url NOT LIKE '%#%' AND lower(url) = url"),
 }
 
+_COLOURS = {"red": "R", "red ring": "RR", "ring": "G", "old": "O", "gear": "E", "small bolt": "SB", "bolt": "B"}
+_MORE |= {
+    "needles_find": Derived("part", ["concat(upper(p_name), ' ', p_brand)"], lambda c: F.transform(text.find_needles(c, _COLOURS), lambda x: F.concat_ws(":", x["begin"], x["payload"])),
+                            "list_filter([CASE WHEN p_name = 'red ring' THEN '0:RR' WHEN p_name = 'small bolt' THEN '0:SB' WHEN p_name LIKE 'red %' THEN '0:R' WHEN p_name LIKE 'old %' THEN '0:O' END, CASE WHEN p_name LIKE '% ring' AND p_name <> 'red ring' THEN concat(position(' ' IN p_name), ':G') WHEN p_name LIKE '% gear' THEN concat(position(' ' IN p_name), ':E') WHEN p_name LIKE '% bolt' AND p_name <> 'small bolt' THEN concat(position(' ' IN p_name), ':B') END], lambda x: x IS NOT NULL)", "array<string>"),
+    "needles_overlapping": Derived("part", ["p_name"], lambda c: F.array_sort(F.transform(text.find_needles(c, _COLOURS, overlapping=True), lambda x: x["payload"])),
+                                   "list_sort(list_filter([CASE WHEN p_name = 'red ring' THEN 'RR' END, CASE WHEN p_name = 'small bolt' THEN 'SB' END, CASE WHEN p_name LIKE 'red %' THEN 'R' END, CASE WHEN p_name LIKE 'old %' THEN 'O' END, CASE WHEN p_name LIKE '% ring' THEN 'G' END, CASE WHEN p_name LIKE '% gear' THEN 'E' END, CASE WHEN p_name LIKE '% bolt' THEN 'B' END], lambda x: x IS NOT NULL))", "array<string>"),
+    "name_contains_org": Derived("part", ["concat(p_name, ' ', p_type)", _pick("p_partkey", ["upper(p_name)", "p_brand", "concat(p_name, ' ', p_type)"])], names.name_contains, "p_partkey % 3 = 0", "boolean"),
+    "name_contains_person": Derived("part", ["concat(p_name, ' ', p_type)", "concat(p_type, ' ', split_part(p_name, ' ', 1))"], lambda a, b: names.name_contains(a, b, "PER"), "TRUE", "boolean"),
+    "part_tag_order": Derived("part", [f"array({_pick('p_partkey', _quote(['FAMILY', 'SUFFIX', 'NUM']))}, 'GIVEN', 'LEGAL', 'HONORIFIC')"], lambda c: F.transform(F.array_sort(F.transform(c, lambda t: F.struct(names.tag_order(t).alias("k"), t.alias("t")))), lambda x: x["t"]), f"['HONORIFIC', 'GIVEN', {_pick('p_partkey', _quote(['FAMILY', 'SUFFIX', 'NUM']))}, 'LEGAL']", "array<string>"),
+    "date_utc_now": Derived("supplier", ["s_name"], lambda c: F.when(c.isNotNull(), (F.abs(F.unix_timestamp(misc.utc_now()) - F.unix_timestamp(F.current_timestamp())) < 2) & (F.abs(F.datediff(misc.utc_date(), F.current_date())) <= 1) & misc.naive_now().isNotNull()), "TRUE", "boolean"),
+}
+
 CASES: dict[str, Derived] = {**_IDS, **_TEXT, **_NAMED, **_MISC, **_MORE}

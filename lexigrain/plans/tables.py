@@ -9,6 +9,7 @@ from lexigrain import refdata
 from lexigrain.functions import ids, misc, names, text, urls
 from lexigrain.operators import corpus, names as name_ops, territories
 from lexigrain.plans.cases import literal
+from lexigrain.sources import files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -202,6 +203,76 @@ def corpus_block_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.block_phrases(rows, contains=["a"]).select("p_partkey", "skip")
 
 
+def _mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names and their capitals as forms of their brand."""
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_name")
+    forms = rows.unionByName(rows.select("p_brand", F.upper("p_name").alias("p_name"))).distinct()
+    return forms.select(F.xxhash64("p_name", "p_brand").alias("id"), F.col("p_name").alias("form"), F.col("p_brand").alias("group"), F.col("p_name").contains("old").alias("skip"), F.lit(None).cast("timestamp").alias("first_seen"), F.lit(None).cast("timestamp").alias("last_seen"))
+
+
+_FORMS = "(SELECT p_brand AS grp, p_name AS form FROM part UNION SELECT p_brand, upper(p_name) FROM part)"
+
+
+@query(f"SELECT grp, form FROM {_FORMS} WHERE regexp_matches(form, '^(red|RED) ') OR grp = 'Brand#1' OR form = 'hot gear'")
+def corpus_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = _mapping(spark, sf_dir)
+    found = corpus.by_pattern(mapping, "^(red|RED) ").unionByName(corpus.by_group(mapping, "Brand#1")).unionByName(corpus.by_form(mapping, "hot gear"))
+    return found.select(F.col("group").alias("grp"), "form").distinct()
+
+
+@query(f"SELECT grp, list_sort(list(form)) AS forms FROM {_FORMS} WHERE NOT contains(form, 'old') GROUP BY grp")
+def corpus_group_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.group_forms(_mapping(spark, sf_dir)).select(F.col("group").alias("grp"), "forms")
+
+
+@query(f"SELECT grp, form, grp = 'Brand#2' AS skip FROM {_FORMS}")
+def corpus_block_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = _mapping(spark, sf_dir).withColumn("skip", F.lit(False))
+    return corpus.block_groups(mapping, spark.createDataFrame([("Brand#2",)], "group string")).select(F.col("group").alias("grp"), "form", "skip")
+
+
+@query("SELECT p_brand || ' ' || p_partkey || ', ' || p_name || ' ' || p_partkey || ' => ' || p_partkey AS value FROM part")
+def corpus_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's brand and name, with its key, as the forms of a group: two that transliteration doesn't bridge and no other group holds."""
+    forms = F.array(F.concat_ws(" ", "p_name", "p_partkey"), F.concat_ws(" ", "p_brand", "p_partkey"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("group"), F.explode(forms).alias("form"))
+    return corpus.export_lines(rows.withColumn("skip", F.lit(False)))
+
+
+# Files: parts written and read again, in every format.
+
+_WRITTEN = "SELECT p_partkey, p_name, p_brand FROM part"
+
+
+def _again(spark: SparkSession, sf_dir: str, kind: str, read) -> DataFrame:
+    path = files.scratch(spark, kind)
+    files.write(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), path, kind)
+    return read(spark, path, "p_partkey bigint, p_name string, p_brand string")
+
+
+@query(_WRITTEN)
+def source_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _again(spark, sf_dir, "json", files.read_jsonl)
+
+
+@query(_WRITTEN)
+def source_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _again(spark, sf_dir, "tsv", files.read_tsv)
+
+
+@query(_WRITTEN)
+def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _again(spark, sf_dir, "csv", files.read_csv)
+
+
+@query("SELECT [p_name, p_brand] AS forms, CAST(p_partkey AS VARCHAR) AS id FROM part")
+def source_corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "lines")
+    lines = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(", "), "p_brand", F.lit(" => "), F.col("p_partkey").cast("string")).alias("value"))
+    files.write(lines, path, "text")
+    return files.read_corpus(spark, path)
+
+
 # Reference data as dimensions, against SQL over the packaged Parquet.
 
 _packaged = lambda name: f"read_parquet('{refdata.path(name)}')"
