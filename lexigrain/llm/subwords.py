@@ -7,6 +7,7 @@ mark), so each distinct word is encoded once per worker and the rest is array in
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ class Encoder:
         ids = self.model.encode([raw[w.begin[i] : w.end[i]].decode("utf-8", "replace") for i in index], num_threads=1)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         where = len(self.at) - 1 + np.arange(len(ids))
-        self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.uint16, int(length.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint16, int(length.sum()))])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(length)])
         slot = np.searchsorted(self.keys, fresh)
         self.keys, self.where = np.insert(self.keys, slot, fresh), np.insert(self.where, slot, where)
