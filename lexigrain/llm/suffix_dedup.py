@@ -222,5 +222,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     near = texts.mapInArrow(members.filtered(wanted), texts.schema).join(hits.hint("merge"), "doc_id").select("doc_id", "text", "positions")
     buckets = _refine(near.mapInArrow(_suffixes, _PAIRS))
     for step in steps()[1:]:
-        buckets = _refine(_point(buckets, step))
+        # Written, so that the exchanges behind it, of texts too, needn't be kept until the end.
+        buckets = _refine(_point(storage.written(buckets, "buckets"), step))
     return positions(buckets).mapInArrow(_stretches, "doc_id long, first_word int, n_words int")
