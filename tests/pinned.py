@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigrain.functions import ids, misc, text, urls
-from lexigrain.plans.cases import Case
+from cases import Case
 
 
 def _id(name: str, what: str):

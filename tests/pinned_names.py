@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions import addresses, names
 from lexigrain.operators import corpus, territories
-from lexigrain.plans.cases import Case
+from cases import Case
 
 _PUTIN = ["Vladimir Vladimirovich Putin", "Vladimir Vladimirovich PUTIN", "Vladimir Vladimirovich PUTIN"]
 

@@ -1,10 +1,10 @@
 """Every pinned case: the operator's result is the expected value, and the SQL gives the same rows."""
 
 import duckdb
+import pinned
+import pinned_names
 import pytest
 
-from lexigrain.plans import pinned, pinned_names
-
 CASES = {**pinned.CASES, **pinned_names.CASES}
 
 
