@@ -44,16 +44,20 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table once and reads it again: later uses neither recompute it nor depend on lost executors.
-
-    What its plan had exchanged is then garbage; Spark deletes such files once the driver's collector has seen that,
-    which on a driver with a large heap may be long after, so it is asked to look now.
-    """
+    """Writes a table once and reads it again: later uses neither recompute it nor depend on lost executors."""
     spark, schema = df.sparkSession, df.schema
     path = work_path(spark, name)
     df.write.parquet(path)
-    del df
-    spark.sparkContext._jvm.java.lang.System.gc()
+    _let_go(spark)
     out = spark.read.schema(schema).parquet(path)
     out.lexigrain_path = path
     return out
+
+
+def _let_go(spark: SparkSession) -> None:
+    """What the plan before had exchanged is garbage now. Spark deletes such files once the driver's collector has seen
+    that, which on a large heap may be long after, so it is asked to look. Listeners hold the last query they heard of
+    until they hear of another."""
+    spark.sql("SELECT 1").collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    spark.sparkContext._jvm.java.lang.System.gc()
