@@ -17,7 +17,11 @@ from pyspark.sql import SparkSession
 from lexigrain.llm import textkit
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+#: Words that are kept, and slots for their hashes; the memo begins anew when full.
 MEMO_WORDS = 1 << 20
+MEMO_SLOTS = 1 << 21
+PROBES = 16
+_SHIFT = np.uint64(64 - 21)
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -31,33 +35,56 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.where = np.zeros(0, np.int64)
+        self.keys = np.zeros(MEMO_SLOTS, np.uint64)
+        self.where = np.zeros(MEMO_SLOTS, np.int32)
         self.flat = np.zeros(0, np.uint16)
         self.at = np.zeros(1, np.int64)
 
-    def _learn(self, w: textkit.Words, index: np.ndarray, fresh: np.ndarray) -> None:
-        raw = w.data.tobytes()
-        ids = self.model.encode([raw[w.begin[i] : w.end[i]].decode("utf-8", "replace") for i in index], num_threads=1)
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        where = len(self.at) - 1 + np.arange(len(ids))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint16, int(length.sum()))])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(length)])
-        slot = np.searchsorted(self.keys, fresh)
-        self.keys, self.where = np.insert(self.keys, slot, fresh), np.insert(self.where, slot, where)
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The memo entry of each key, -1 for unknown ones: open addressing, all keys probed together."""
+        out = np.full(len(keys), -1, np.int64)
+        left, slot = np.arange(len(keys)), (keys >> _SHIFT).astype(np.int64)
+        for _ in range(PROBES):
+            held = self.keys[slot]
+            hit = held == keys[left]
+            out[left[hit]] = self.where[slot[hit]]
+            on = ~hit & (held != 0)
+            if not on.any():
+                break
+            left, slot = left[on], (slot[on] + 1) & (MEMO_SLOTS - 1)
+        return out
+
+    def _keep(self, keys: np.ndarray, where: np.ndarray) -> None:
+        """Puts new keys in free slots; one that finds none stays unknown."""
+        slot = (keys >> _SHIFT).astype(np.int64)
+        for _ in range(PROBES):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]], self.where[slot[free]] = keys[free], where[free]
+            # Of several that found the same slot free the last has it.
+            done = self.keys[slot] == keys
+            self.where[slot[done]] = where[done]
+            keys, where, slot = keys[~done], where[~done], (slot[~done] + 1) & (MEMO_SLOTS - 1)
+            if not len(keys):
+                break
 
     def _place(self, w: textkit.Words) -> np.ndarray:
         """The memo entry of each word."""
-        keys, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.keys) > MEMO_WORDS:
+        if len(self.at) > MEMO_WORDS:
             self.clear()
-        slot = np.searchsorted(self.keys, keys)
-        known = slot < len(self.keys)
-        known[known] = self.keys[slot[known]] == keys[known]
-        if not known.all():
-            self._learn(w, first[~known], keys[~known])
-            slot = np.searchsorted(self.keys, keys)
-        return self.where[slot][back]
+        hashes = np.maximum(w.hash, np.uint64(1))  # 0 marks a free slot
+        place = self._find(hashes)
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            fresh, first, back = np.unique(hashes[unknown], return_index=True, return_inverse=True)
+            raw = w.data.tobytes()
+            ids = self.model.encode([raw[w.begin[i] : w.end[i]].decode("utf-8", "replace") for i in unknown[first]], num_threads=1)
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            where = len(self.at) - 1 + np.arange(len(ids))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint16, int(length.sum()))])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(length)])
+            self._keep(fresh, where)
+            place[unknown] = where[back]
+        return place
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Number of subwords of each text."""

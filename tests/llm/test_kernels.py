@@ -55,6 +55,20 @@ def test_subwords_equal_the_model():
     assert e.lengths(pa.array(texts)).tolist() == list(map(len, want))
 
 
+def test_subwords_with_a_crowded_memo(monkeypatch):
+    """Words that find no slot, and a memo that begins anew."""
+    monkeypatch.setattr(subwords, "MEMO_SLOTS", 16)
+    monkeypatch.setattr(subwords, "_SHIFT", np.uint64(60))
+    monkeypatch.setattr(subwords, "PROBES", 2)
+    monkeypatch.setattr(subwords, "MEMO_WORDS", 40)
+    e = subwords.Encoder(subwords.TOKENIZER)
+    rng = np.random.default_rng(14)
+    for _ in range(20):
+        texts = [" ".join(f"w{k}" for k in rng.integers(0, 60, 30)) for _ in range(3)]
+        ids, at = e.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[x for word in t.split() for x in e.model.encode(word)] for t in texts]
+
+
 # 1: language-model scores
 
 
