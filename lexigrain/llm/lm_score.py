@@ -67,6 +67,10 @@ _LATER = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 _ONES = np.ones(_CELLS, np.float32)
 #: Exponents are kept in this range, which makes a maximum per row needless.
 _RANGE = 60.0
+#: How many positions of a window the one before has scored. Attention is computed for runs of positions between cuts.
+_AGAIN = WINDOW - STRIDE
+_CUTS = (0, WINDOW // 2, WINDOW)
+_AGAIN_CUTS = (_AGAIN, (_AGAIN + WINDOW) // 2, WINDOW)
 _DISTANCE = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW), 0)
 
 
@@ -146,18 +150,27 @@ def blocks(vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray, stride: int
         yield inputs, ids[target], (offset >= seen[part, None]) & (offset < length[part, None]), text[part]
 
 
-def attend(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Masked attention of a batch of windows."""
+def attend(w: dict[str, np.ndarray], inputs: np.ndarray, cuts: tuple[int, ...] = _CUTS) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Masked attention of a batch of windows, for positions from the first of ``cuts`` on: embeddings, queries, per run between
+    cuts the weights over all positions up to its end and their sums, attended vectors, and hidden vectors. What lies behind a
+    run's end is masked for all of it, and isn't computed."""
     x = w["e"].take(inputs, axis=0)
-    y = x @ w["m"]
-    a = y @ np.ascontiguousarray(x.transpose(0, 2, 1))
-    a += w["r"][_DISTANCE] + _LATER
-    np.minimum(a, _RANGE, out=a)
-    np.exp(a, out=a)
-    total = np.maximum(a @ _ONES[:WINDOW], 1e-30)[:, :, None]
-    z = a @ x
-    z /= total
-    return x, y, a, total, z, x + z @ w["v"]
+    begin = cuts[0]
+    y = x[:, begin:] @ w["m"]
+    z = np.empty_like(y)
+    keys = np.ascontiguousarray(x.transpose(0, 2, 1))
+    bias = w["r"][_DISTANCE] + _LATER
+    runs = []
+    for low, high in zip(cuts, cuts[1:]):
+        mine = slice(low - begin, high - begin)
+        a = y[:, mine] @ keys[:, :, :high]
+        a += bias[low:high, :high]
+        np.clip(a, -1e30, _RANGE, out=a)
+        np.exp(a, out=a)
+        total = np.maximum(a @ _ONES[:high], 1e-30)[:, :, None]
+        np.divide(a @ x[:, :high], total, out=z[:, mine])
+        runs.append((a, total))
+    return x, y, runs, z, x[:, begin:] + z @ w["v"]
 
 
 def class_log_probs(w: dict[str, np.ndarray], hidden: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -195,13 +208,24 @@ def member_log_probs(w: dict[str, np.ndarray], vocabulary: Vocabulary, hidden: n
     return out
 
 
+def _hidden(w: dict[str, np.ndarray], inputs: np.ndarray, scored: np.ndarray) -> np.ndarray:
+    """Hidden vectors of the scored positions, window by window. What an earlier window scores is only looked back at."""
+    out = np.empty((*inputs.shape, WIDTH), np.float32)
+    for b in range(0, len(inputs), SCORE_BATCH):
+        out[b : b + SCORE_BATCH, _AGAIN:] = attend(w, inputs[b : b + SCORE_BATCH], _AGAIN_CUTS)[-1]
+    first = np.flatnonzero(scored[:, 0])
+    for b in range(0, len(first), SCORE_BATCH):
+        mine = first[b : b + SCORE_BATCH]
+        out[mine, :_AGAIN] = attend(w, inputs[mine, :_AGAIN], (0, _AGAIN))[-1]
+    return out.reshape(-1, WIDTH).take(np.flatnonzero(scored), axis=0)
+
+
 def score(flat: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of log probabilities of each text's ids."""
     out = np.zeros(len(at) - 1)
     w = split(flat)
     for inputs, target, scored, text in blocks(vocabulary, ids, at):
-        hidden = np.concatenate([attend(w, inputs[b : b + SCORE_BATCH])[-1][scored[b : b + SCORE_BATCH]] for b in range(0, len(inputs), SCORE_BATCH)])
-        words = target[scored]
+        hidden, words = _hidden(w, inputs, scored), target[scored]
         kind = vocabulary.kind[words]
         step = SCORE_BATCH * STRIDE
         sums = np.concatenate([class_log_probs(w, hidden[b : b + step], kind[b : b + step]) for b in range(0, len(words), step)]) + member_log_probs(w, vocabulary, hidden, words)
@@ -213,8 +237,7 @@ def score(flat: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, at: np.ndar
 
 def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, kind: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """Gradient of the mean class loss over the masked targets, that loss, and the hidden vectors."""
-    x, y, a, total, z, h = attend(w, inputs)
-    a /= total
+    x, y, runs, z, h = attend(w, inputs)
     k, m = kind.ravel(), mask.ravel()
     n = max(int(np.count_nonzero(m)), 1)
     h2 = h.reshape(-1, WIDTH)
@@ -237,14 +260,21 @@ def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, kind: np.ndarray, mas
     dh = (p @ w["c"]).reshape(h.shape)
     g["v"][:] = z.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
     dz = dh @ w["v"].T
-    dx = dh + a.transpose(0, 2, 1) @ dz
-    ds = dz @ x.transpose(0, 2, 1)
+    dx, dy = dh.copy(), np.empty_like(y)
+    by_distance = np.zeros((WINDOW, WINDOW))
     # Sum over keys of weight times its gradient is the gradient times the attended vector.
-    ds -= (dz * z).sum(axis=2, keepdims=True)
-    ds *= a
-    g["r"][:] = np.bincount(_DISTANCE.ravel(), ds.sum(axis=0).ravel(), WINDOW)
-    dy = ds @ x
-    dx += ds.transpose(0, 2, 1) @ y
+    shared = (dz * z).sum(axis=2, keepdims=True)
+    for (a, total), low, high in zip(runs, _CUTS, _CUTS[1:]):
+        a /= total
+        mine, seen = slice(low, high), x[:, :high]
+        dx[:, :high] += a.transpose(0, 2, 1) @ dz[:, mine]
+        ds = dz[:, mine] @ seen.transpose(0, 2, 1)
+        ds -= shared[:, mine]
+        ds *= a
+        by_distance[mine, :high] = ds.sum(axis=0)
+        dy[:, mine] = ds @ seen
+        dx[:, :high] += ds.transpose(0, 2, 1) @ y[:, mine]
+    g["r"][:] = np.bincount(_DISTANCE.ravel(), by_distance.ravel(), WINDOW)
     g["m"][:] = x.reshape(-1, WIDTH).T @ dy.reshape(-1, WIDTH)
     dx += dy @ w["m"].T
     flat_in, flat_dx = inputs.ravel(), np.ascontiguousarray(dx.reshape(-1, WIDTH).T)
@@ -302,8 +332,8 @@ def train(flat: np.ndarray, vocabulary: Vocabulary, documents: Iterator[tuple[np
             first += 0.1 * (g - first)
             second += 0.01 * (g * g - second)
             own -= rate * LEARNING_RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-        _learn_members(w, power, vocabulary, hidden[mask], target[mask], rate * MEMBER_RATE)
-        seen += int(mask.sum())
+        _learn_members(w, power, vocabulary, hidden.reshape(-1, WIDTH).take(np.flatnonzero(mask), axis=0), target[mask], rate * MEMBER_RATE)
+        seen += int(np.count_nonzero(mask))
     return flat, seen
 
 
