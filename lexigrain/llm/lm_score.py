@@ -47,6 +47,8 @@ ROUNDS = 3
 LEARNING_RATE = 0.02
 MEMBER_RATE = 0.1
 BATCH = 128
+#: Windows of a batch whose gradient is taken at once, so that what it needs stays near a core.
+PART = 64
 #: Windows scored at once: their attention fits a core's cache.
 SCORE_BATCH = 64
 #: Windows held at once; the softmax within classes takes a block's ids class by class.
@@ -56,12 +58,16 @@ SHARD_IDS = 1 << 22
 MOST_TASKS = 1 << 14
 _ROWS = OWN_ROWS + SHARED_ROWS + 1
 _START = _ROWS - 1
+#: Where a flat embedding has each row.
+_ROW_CELLS = np.arange(_ROWS * WIDTH).reshape(_ROWS, WIDTH)
 #: Logits of ids within a class that are held at once.
 _CELLS = 1 << 18
 
 _SHAPES = {"e": (_ROWS, WIDTH), "m": (WIDTH, WIDTH), "r": (WINDOW,), "v": (WIDTH, WIDTH), "c": (CLASSES, WIDTH), "b": (CLASSES,)}
 #: Weights of attention and of the softmax over classes. Those within classes, WIDTH + 1 an id, follow them.
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+_ENDS = np.cumsum([int(np.prod(s)) for s in _SHAPES.values()]).tolist()
+_SPANS = [(name, shape, a, b) for (name, shape), a, b in zip(_SHAPES.items(), [0, *_ENDS], _ENDS)]
 #: Added to what attends to a later position: its weight is then 0.
 _LATER = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 _ONES = np.ones(_CELLS, np.float32)
@@ -76,14 +82,10 @@ _DISTANCE = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW), 0)
 
 def split(flat: np.ndarray) -> dict[str, np.ndarray]:
     """Views of a weight vector: ``o`` and ``u`` are the ids' output vectors and biases, ids in the order of ``Vocabulary.place``."""
-    out, at = {}, 0
-    for name, shape in _SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
-    ids = (len(flat) - at) // (WIDTH + 1)
-    out["o"] = flat[at : at + ids * WIDTH].reshape(ids, WIDTH)
-    out["u"] = flat[at + ids * WIDTH :]
+    out = {name: flat[a:b].reshape(shape) for name, shape, a, b in _SPANS}
+    ids = (len(flat) - SIZE) // (WIDTH + 1)
+    out["o"] = flat[SIZE : SIZE + ids * WIDTH].reshape(ids, WIDTH)
+    out["u"] = flat[SIZE + ids * WIDTH :]
     return out
 
 
@@ -150,13 +152,14 @@ def blocks(vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray, stride: int
         yield inputs, ids[target], (offset >= seen[part, None]) & (offset < length[part, None]), text[part]
 
 
-def attend(w: dict[str, np.ndarray], inputs: np.ndarray, cuts: tuple[int, ...] = _CUTS) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """Masked attention of a batch of windows, for positions from the first of ``cuts`` on: embeddings, queries, per run between
+def attend(w: dict[str, np.ndarray], inputs: np.ndarray, cuts: tuple[int, ...] = _CUTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Masked attention of a batch of windows, for positions from the first of ``cuts`` on: embeddings, the same as keys, queries, per run between
     cuts the weights over all positions up to its end and their sums, attended vectors, and hidden vectors. What lies behind a
     run's end is masked for all of it, and isn't computed."""
     x = w["e"].take(inputs, axis=0)
     begin = cuts[0]
-    y = x[:, begin:] @ w["m"]
+    own = np.ascontiguousarray(x[:, begin:])
+    y = (own.reshape(-1, WIDTH) @ w["m"]).reshape(own.shape)
     z = np.empty_like(y)
     keys = np.ascontiguousarray(x.transpose(0, 2, 1))
     bias = w["r"][_DISTANCE] + _LATER
@@ -165,21 +168,36 @@ def attend(w: dict[str, np.ndarray], inputs: np.ndarray, cuts: tuple[int, ...] =
         mine = slice(low - begin, high - begin)
         a = y[:, mine] @ keys[:, :, :high]
         a += bias[low:high, :high]
-        np.clip(a, -1e30, _RANGE, out=a)
+        if not a.max() <= _RANGE:
+            np.clip(a, -1e30, _RANGE, out=a)
         np.exp(a, out=a)
-        total = np.maximum(a @ _ONES[:high], 1e-30)[:, :, None]
+        total = np.maximum(a.reshape(-1, high) @ _ONES[:high], 1e-30).reshape(*a.shape[:2], 1)
         np.divide(a @ x[:, :high], total, out=z[:, mine])
         runs.append((a, total))
-    return x, y, runs, z, x[:, begin:] + z @ w["v"]
+    hidden = (z.reshape(-1, WIDTH) @ w["v"]).reshape(z.shape)
+    hidden += own
+    return x, keys, y, runs, z, hidden
+
+
+def _exponents(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(hidden @ vectors.T), and what multiplies each column of it, exp(bias). Where a logit would leave the range, it is kept in it."""
+    out = hidden @ vectors.T
+    if out.size and not (-_RANGE <= min(out.min(), out.min() + bias.min()) and max(out.max(), out.max() + bias.max()) <= _RANGE):
+        out += bias
+        np.clip(out, -_RANGE, _RANGE, out=out)
+        bias = np.zeros_like(bias)
+    return np.exp(out, out=out), np.exp(bias)
+
+
+def _log_probs(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Of each row's given column, log of its softmax."""
+    p, scale = _exponents(hidden, vectors, bias)
+    picked = p.reshape(-1).take(np.arange(0, p.size, len(vectors)) + column)
+    return np.log(picked * scale.take(column) / (p @ scale))
 
 
 def class_log_probs(w: dict[str, np.ndarray], hidden: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    logits = hidden @ w["c"].T
-    logits += w["b"]
-    np.clip(logits, -_RANGE, _RANGE, out=logits)
-    picked = logits[np.arange(len(kind)), kind]
-    np.exp(logits, out=logits)
-    return picked - np.log(logits @ _ONES[:CLASSES])
+    return _log_probs(hidden, w["c"], w["b"], kind)
 
 
 def _by_class(vocabulary: Vocabulary, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -199,12 +217,7 @@ def member_log_probs(w: dict[str, np.ndarray], vocabulary: Vocabulary, hidden: n
     out = np.zeros(len(ids), np.float32)
     place = vocabulary.place[ids]
     for low, high, mine in _by_class(vocabulary, ids):
-        logits = hidden.take(mine, axis=0) @ w["o"][low:high].T
-        logits += w["u"][low:high]
-        np.clip(logits, -_RANGE, _RANGE, out=logits)
-        picked = logits[np.arange(len(mine)), place[mine] - low]
-        np.exp(logits, out=logits)
-        out[mine] = picked - np.log(logits @ _ONES[: high - low])
+        out[mine] = _log_probs(hidden.take(mine, axis=0), w["o"][low:high], w["u"][low:high], place[mine] - low)
     return out
 
 
@@ -237,50 +250,57 @@ def score(flat: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, at: np.ndar
 
 def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, kind: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """Gradient of the mean class loss over the masked targets, that loss, and the hidden vectors."""
-    x, y, runs, z, h = attend(w, inputs)
-    k, m = kind.ravel(), mask.ravel()
-    n = max(int(np.count_nonzero(m)), 1)
-    h2 = h.reshape(-1, WIDTH)
-    p = h2 @ w["c"].T
-    p += w["b"]
-    np.clip(p, -_RANGE, _RANGE, out=p)
-    np.exp(p, out=p)
-    p /= (p @ _ONES[:CLASSES])[:, None]
-    cell = np.arange(len(k)) * CLASSES + k
+    n = max(int(np.count_nonzero(mask)), 1)
+    flat = np.zeros(SIZE, np.float32)
+    g, loss = split(flat), 0.0
+    hidden, dx = np.empty((*inputs.shape, WIDTH), np.float32), np.empty((*inputs.shape, WIDTH), np.float32)
+    for b in range(0, len(inputs), PART):
+        part = slice(b, b + PART)
+        loss += _part_gradient(w, g, inputs[part], kind[part].ravel(), mask[part].ravel(), n, hidden[part], dx[part])
+    cell = _ROW_CELLS.take(inputs.ravel(), axis=0)
+    g["e"][:] = np.bincount(cell.ravel(), dx.ravel(), _ROWS * WIDTH).reshape(_ROWS, WIDTH)
+    return flat, loss / n, hidden.reshape(-1, WIDTH)
+
+
+def _part_gradient(w: dict[str, np.ndarray], g: dict[str, np.ndarray], inputs: np.ndarray, k: np.ndarray, m: np.ndarray, n: int, hidden: np.ndarray, dx: np.ndarray) -> float:
+    """Adds a part of a batch of ``n`` targets to all of the gradient but the embedding's, whose rows' gradients go into ``dx``; its loss."""
+    flat = lambda a: a.reshape(-1, WIDTH)
+    x, keys, y, runs, z, hidden[:] = attend(w, inputs)
+    h2 = flat(hidden)
+    p, scale = _exponents(h2, w["c"], w["b"])
+    total = p @ scale
+    cell = np.arange(0, p.size, CLASSES) + k
     flat_p = p.reshape(-1)
-    loss = -float(np.log(np.maximum(flat_p[cell], 1e-30))[m].sum()) / n
-    flat_p[cell] -= 1
-    if n < len(m):
-        p[~m] = 0
-    p *= np.float32(1 / n)
-    flat = np.empty(SIZE, np.float32)
-    g = split(flat)
-    g["c"][:] = p.T @ h2
-    g["b"][:] = _ONES[: len(p)] @ p
-    dh = (p @ w["c"]).reshape(h.shape)
-    g["v"][:] = z.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
-    dz = dh @ w["v"].T
-    dx, dy = dh.copy(), np.empty_like(y)
+    whole = total / scale.take(k)
+    loss = -float(np.log(np.maximum(flat_p.take(cell) / whole, 1e-30))[m].sum())
+    flat_p[cell] -= whole
+    # Times ``scale``, which the small matrices below take in, this is the gradient of the logits.
+    p *= (m * np.float32(1 / n) / total)[:, None]
+    g["c"] += (p.T @ h2) * scale[:, None]
+    g["b"] += (_ONES[: len(p)] @ p) * scale
+    dh = p @ (w["c"] * scale[:, None])
+    g["v"] += flat(z).T @ dh
+    dz = (dh @ w["v"].T).reshape(z.shape)
+    dy = np.empty_like(y)
     by_distance = np.zeros((WINDOW, WINDOW))
-    # Sum over keys of weight times its gradient is the gradient times the attended vector.
-    shared = (dz * z).sum(axis=2, keepdims=True)
+    dx[:] = dh.reshape(dx.shape)
     for (a, total), low, high in zip(runs, _CUTS, _CUTS[1:]):
-        a /= total
         mine, seen = slice(low, high), x[:, :high]
-        dx[:, :high] += a.transpose(0, 2, 1) @ dz[:, mine]
-        ds = dz[:, mine] @ seen.transpose(0, 2, 1)
-        ds -= shared[:, mine]
+        # Weights are ``a / total``, and dividing what they meet is less work.
+        d = dz[:, mine] / total
+        # Sum over keys of weight times its gradient is the gradient times the attended vector.
+        shared = (flat(d * z[:, mine]) @ _ONES[:WIDTH]).reshape(total.shape)
+        dx[:, :high] += a.transpose(0, 2, 1) @ d
+        ds = d @ keys[:, :, :high]
+        ds -= shared
         ds *= a
-        by_distance[mine, :high] = ds.sum(axis=0)
+        by_distance[mine, :high] = (_ONES[: len(ds)] @ ds.reshape(len(ds), -1)).reshape(ds.shape[1:])
         dy[:, mine] = ds @ seen
         dx[:, :high] += ds.transpose(0, 2, 1) @ y[:, mine]
-    g["r"][:] = np.bincount(_DISTANCE.ravel(), by_distance.ravel(), WINDOW)
-    g["m"][:] = x.reshape(-1, WIDTH).T @ dy.reshape(-1, WIDTH)
-    dx += dy @ w["m"].T
-    flat_in, flat_dx = inputs.ravel(), np.ascontiguousarray(dx.reshape(-1, WIDTH).T)
-    for j in range(WIDTH):
-        g["e"][:, j] = np.bincount(flat_in, flat_dx[j], _ROWS)
-    return flat, loss, h2
+    g["r"] += np.bincount(_DISTANCE.ravel(), by_distance.ravel(), WINDOW)
+    g["m"] += flat(x).T @ flat(dy)
+    dx += (flat(dy) @ w["m"].T).reshape(dx.shape)
+    return loss
 
 
 def _learn_members(w: dict[str, np.ndarray], power: dict[str, np.ndarray], vocabulary: Vocabulary, hidden: np.ndarray, ids: np.ndarray, rate: float) -> None:
@@ -288,14 +308,13 @@ def _learn_members(w: dict[str, np.ndarray], power: dict[str, np.ndarray], vocab
     place = vocabulary.place[ids]
     for low, high, mine in _by_class(vocabulary, ids):
         h = hidden.take(mine, axis=0)
-        p = h @ w["o"][low:high].T
-        p += w["u"][low:high]
-        np.clip(p, -_RANGE, _RANGE, out=p)
-        np.exp(p, out=p)
-        p /= (p @ _ONES[: high - low])[:, None]
-        p[np.arange(len(mine)), place[mine] - low] -= 1
-        for name, g in (("o", p.T @ h), ("u", _ONES[: len(p)] @ p)):
-            g /= len(mine)
+        p, scale = _exponents(h, w["o"][low:high], w["u"][low:high])
+        total = p @ scale
+        column = place[mine] - low
+        p.reshape(-1)[np.arange(0, p.size, high - low) + column] -= total / scale.take(column)
+        p *= (1 / total)[:, None]
+        scale /= len(mine)
+        for name, g in (("o", (p.T @ h) * scale[:, None]), ("u", (_ONES[: len(p)] @ p) * scale)):
             power[name][low:high] += g * g
             w[name][low:high] -= rate * g / (np.sqrt(power[name][low:high]) + 1e-5)
 
@@ -319,7 +338,7 @@ def train(flat: np.ndarray, vocabulary: Vocabulary, documents: Iterator[tuple[np
     flat = flat.copy()
     w, own = split(flat), flat[:SIZE]
     first, second, step, seen = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0, 0
-    power = {n: np.zeros_like(w[n]) for n in ("o", "u")}
+    power, scratch = {n: np.zeros_like(w[n]) for n in ("o", "u")}, np.empty(SIZE, np.float32)
     for inputs, target, mask in _filled(b for ids, at in documents if len(ids) for b in blocks(vocabulary, ids, at, WINDOW)):
         kind = vocabulary.kind[target]
         order = np.random.default_rng(seen).permutation(len(inputs))
@@ -329,9 +348,17 @@ def train(flat: np.ndarray, vocabulary: Vocabulary, documents: Iterator[tuple[np
             g, _, h = gradient(w, inputs[part], kind[part], mask[part])
             hidden[part] = h.reshape(len(part), WINDOW, WIDTH)
             step += 1
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
-            own -= rate * LEARNING_RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+            first *= 0.9
+            first += np.multiply(g, 0.1, out=scratch)
+            second *= 0.99
+            g *= g
+            g *= 0.01
+            second += g
+            np.sqrt(second, out=scratch)
+            scratch += 1e-6 * (1 - 0.99**step) ** 0.5
+            np.divide(first, scratch, out=scratch)
+            scratch *= rate * LEARNING_RATE * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
+            own -= scratch
         _learn_members(w, power, vocabulary, hidden.reshape(-1, WIDTH).take(np.flatnonzero(mask), axis=0), target[mask], rate * MEMBER_RATE)
         seen += int(np.count_nonzero(mask))
     return flat, seen

@@ -124,6 +124,28 @@ def test_lm_gradient():
     assert (up - down) / (2 * step) == pytest.approx(np.linalg.norm(g), rel=0.02)
 
 
+def test_lm_gradient_in_parts(monkeypatch):
+    """A batch cut into parts has the same gradient, also where masked, with a last part of another size, and with logits beyond the range."""
+    rng = np.random.default_rng(16)
+    v = lm_score.Vocabulary.of(rng.integers(0, 50, 5000))
+    inputs = rng.integers(0, 50, (19, lm_score.WINDOW)).astype(np.int32)
+    kind = rng.integers(0, lm_score.CLASSES, inputs.shape)
+    mask = rng.random(inputs.shape) < 0.8
+    for far in (0, 100):
+        w = lm_score.split(some_weights(v, rng))
+        w["b"][3] += far
+        got = []
+        for windows in (19, 8, 1):
+            monkeypatch.setattr(lm_score, "PART", windows)
+            got.append(lm_score.gradient(w, inputs, kind, mask))
+        for g, loss, hidden in got[1:]:
+            assert g == pytest.approx(got[0][0], rel=1e-3, abs=1e-6) and loss == pytest.approx(got[0][1], rel=1e-5)
+            assert np.allclose(hidden, got[0][2], atol=1e-6)
+        logits = np.clip(got[0][2] @ w["c"].T + w["b"], -60, 60).astype(np.float64)
+        want = logits[np.arange(len(logits)), kind.ravel()] - np.log(np.exp(logits).sum(axis=1))
+        assert lm_score.class_log_probs(w, got[0][2], kind.ravel()) == pytest.approx(want, rel=1e-3, abs=1e-3)
+
+
 def test_lm_learns_within_classes():
     """Two ids of one class, told apart by the id before them."""
     v = lm_score.Vocabulary.of(np.array([100, 100, 100, 100] + [1] * 60))
