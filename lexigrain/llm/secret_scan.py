@@ -17,7 +17,8 @@ characters and its SHA-256, never the literal itself. A literal that several nam
 the best-scored name (the first of equal ones).
 
 Defined cases: null and empty texts have no findings; texts, names and values of any length are read whole, in time in
-proportion to their length; repeated rows give repeated findings; columns of other names don't matter.
+proportion to their length; a private key's header that several literals make up is found if it lies within 2048 characters of
+both sides of their joint; repeated rows give repeated findings; columns of other names don't matter.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import re
 from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,8 +72,9 @@ _TYPES = frozenset("string str text char byte bytes String STRING VARCHAR varcha
 _ELEMENT = re.compile(r"<(?P<tag>[^\W\d][\w.:-]*)(?P<rest>\s[^<>]*)?>(?P<value>[^<>]+)</(?P=tag)\s*>")
 _TAG = re.compile(r"<[^\W\d][\w.:-]*\s[^<>]*>")
 _ATTRIBUTE = re.compile(r"(?P<name>[\w.:-]+)\s*=\s*(?:\"(?P<a>[^\"]*)\"|'(?P<b>[^']*)')")
-#: A value of more characters than this is judged by its characters' shares, its beginning and its end.
+#: Of a value of more characters than this the text of both ends is kept, and of what lies between the characters that occur.
 _WHOLE = 4096
+_END = _WHOLE // 2
 
 _SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "pass": 0.8, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 1.0, "credentials": 1.0,
@@ -102,33 +104,45 @@ def name_score(name: str) -> float:
 
 @dataclass
 class Value:
-    """What is known of a value: its length, each character's share, and its text, of long ones the ends."""
+    """What is known of a value: its length, each character's share, its text, of long ones the ends and the characters between
+    them (``inner``), and whether a private key's header stands anywhere in it."""
 
     length: float
     shares: dict[str, float]
     text: str
     bare: bool
+    inner: frozenset[str]
+    pem: bool
 
     @staticmethod
     def of(text: str, bare: bool = False) -> Value:
         shares = {c: n / len(text) for c, n in Counter(text).items()} if text else {}
-        return Value(len(text), shares, text if len(text) <= _WHOLE else text[: _WHOLE // 2] + text[-_WHOLE // 2 :], bare)
+        return Value(len(text), shares, *Value._cut(text, bare, frozenset()), _PEM.search(text) is not None)
+
+    @staticmethod
+    def _cut(text: str, bare: bool, inner: frozenset[str]) -> tuple[str, bool, frozenset[str]]:
+        if len(text) <= _WHOLE:
+            return text, bare, inner
+        return text[:_END] + text[-_END:], bare, inner.union(text[_END:-_END])
 
     def plus(self, other: Value) -> Value:
+        bare = self.bare and other.bare
         if not self.length or not other.length:
-            return Value(self.length or other.length, self.shares or other.shares, self.text or other.text, self.bare and other.bare)
+            return replace(self if self.length else other, bare=bare)
         # Lengths may double in every line of a text.
         total = min(self.length + other.length, 1e300)
         part = self.length / (self.length + other.length)
         shares = {c: self.shares.get(c, 0.0) * part + other.shares.get(c, 0.0) * (1 - part) for c in {**self.shares, **other.shares}}
-        text = self.text + other.text
-        return Value(total, shares, text if len(text) <= _WHOLE else text[: _WHOLE // 2] + text[-_WHOLE // 2 :], self.bare and other.bare)
+        pem = self.pem or other.pem or ("-" in self.shares and _PEM.search(self.text[-_END:] + other.text[:_END]) is not None)
+        return Value(total, shares, *Value._cut(self.text + other.text, bare, self.inner | other.inner), pem)
 
     def score(self) -> float:
         """How much it looks like a key or password, from 0 to 1."""
-        if _PEM.search(self.text):
+        if self.pem:
             return 1.0
-        if self.length < MIN_LITERAL or _EMPTY.match(self.text) or any(c.isspace() for c in self.shares):
+        # What these forms ask of a long middle depends on its characters alone.
+        judged = self.text[:_END] + "".join(sorted(self.inner)) + self.text[_END:] if self.inner else self.text
+        if self.length < MIN_LITERAL or _EMPTY.match(judged) or any(c.isspace() for c in self.shares):
             return 0.0
         if self.length <= _WHOLE and _KNOWN.match(self.text):
             return 1.0
