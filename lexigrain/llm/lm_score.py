@@ -58,10 +58,12 @@ SHARD_IDS = 1 << 22
 MOST_TASKS = 1 << 14
 _ROWS = OWN_ROWS + SHARED_ROWS + 1
 _START = _ROWS - 1
-#: Where a flat embedding has each row.
-_ROW_CELLS = np.arange(_ROWS * WIDTH).reshape(_ROWS, WIDTH)
-#: Logits of ids within a class that are held at once.
+#: Where a flat embedding, taken as pairs of numbers, has each row. A sum of complex numbers adds two at a time.
+_ROW_PAIRS = np.arange(_ROWS * WIDTH // 2).reshape(_ROWS, WIDTH // 2)
+#: Logits of ids within a class that one step of training takes.
 _CELLS = 1 << 18
+#: Logits that are held at once, so that they stay near a core; this changes no result.
+NEAR_CELLS = 1 << 17
 
 _SHAPES = {"e": (_ROWS, WIDTH), "m": (WIDTH, WIDTH), "r": (WINDOW,), "v": (WIDTH, WIDTH), "c": (CLASSES, WIDTH), "b": (CLASSES,)}
 #: Weights of attention and of the softmax over classes. Those within classes, WIDTH + 1 an id, follow them.
@@ -73,10 +75,8 @@ _LATER = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 _ONES = np.ones(_CELLS, np.float32)
 #: Exponents are kept in this range, which makes a maximum per row needless.
 _RANGE = 60.0
-#: How many positions of a window the one before has scored. Attention is computed for runs of positions between cuts.
+#: How many positions of a window the one before has scored.
 _AGAIN = WINDOW - STRIDE
-_CUTS = (0, WINDOW // 2, WINDOW)
-_AGAIN_CUTS = (_AGAIN, (_AGAIN + WINDOW) // 2, WINDOW)
 _DISTANCE = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW), 0)
 
 
@@ -152,127 +152,139 @@ def blocks(vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray, stride: int
         yield inputs, ids[target], (offset >= seen[part, None]) & (offset < length[part, None]), text[part]
 
 
-def attend(w: dict[str, np.ndarray], inputs: np.ndarray, cuts: tuple[int, ...] = _CUTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """Masked attention of a batch of windows, for positions from the first of ``cuts`` on: embeddings, the same as keys, queries, per run between
-    cuts the weights over all positions up to its end and their sums, attended vectors, and hidden vectors. What lies behind a
-    run's end is masked for all of it, and isn't computed."""
+def attend(
+    w: dict[str, np.ndarray], inputs: np.ndarray, begin: int = 0, room: np.ndarray | None = None, hidden: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
+    """Masked attention of a batch of windows, for positions from ``begin`` on: embeddings, queries, exponents over all positions and
+    their sums, attended vectors, and hidden vectors. Exponents go into ``room`` and hidden vectors into ``hidden`` where these are given."""
     x = w["e"].take(inputs, axis=0)
-    begin = cuts[0]
     own = np.ascontiguousarray(x[:, begin:])
     y = (own.reshape(-1, WIDTH) @ w["m"]).reshape(own.shape)
-    z = np.empty_like(y)
-    keys = np.ascontiguousarray(x.transpose(0, 2, 1))
-    bias = w["r"][_DISTANCE] + _LATER
-    runs = []
-    for low, high in zip(cuts, cuts[1:]):
-        mine = slice(low - begin, high - begin)
-        a = y[:, mine] @ keys[:, :, :high]
-        a += bias[low:high, :high]
-        if not a.max() <= _RANGE:
-            np.clip(a, -1e30, _RANGE, out=a)
-        np.exp(a, out=a)
-        total = np.maximum(a.reshape(-1, high) @ _ONES[:high], 1e-30).reshape(*a.shape[:2], 1)
-        np.divide(a @ x[:, :high], total, out=z[:, mine])
-        runs.append((a, total))
-    hidden = (z.reshape(-1, WIDTH) @ w["v"]).reshape(z.shape)
+    n = x.shape[1]
+    a = np.matmul(y, x.transpose(0, 2, 1), out=room)
+    a += (w["r"][_DISTANCE] + _LATER)[begin:n, :n]
+    if not a.max() <= _RANGE:
+        np.clip(a, -1e30, _RANGE, out=a)
+    np.exp(a, out=a)
+    total = np.maximum(a @ _ONES[:n], 1e-30)[:, :, None]
+    z = a @ x
+    z /= total
+    if hidden is None:
+        hidden = np.empty_like(z)
+    np.matmul(z.reshape(-1, WIDTH), w["v"], out=hidden.reshape(-1, WIDTH))
     hidden += own
-    return x, keys, y, runs, z, hidden
+    return x, y, a, total, z, hidden
 
 
 def _exponents(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp(hidden @ vectors.T), and what multiplies each column of it, exp(bias). Where a logit would leave the range, it is kept in it."""
     out = hidden @ vectors.T
-    if out.size and not (-_RANGE <= min(out.min(), out.min() + bias.min()) and max(out.max(), out.max() + bias.max()) <= _RANGE):
-        out += bias
-        np.clip(out, -_RANGE, _RANGE, out=out)
-        bias = np.zeros_like(bias)
+    if out.size:
+        low, high = out.min(), out.max()
+        if not (-_RANGE <= min(low, low + bias.min()) and max(high, high + bias.max()) <= _RANGE):
+            out += bias
+            np.clip(out, -_RANGE, _RANGE, out=out)
+            bias = np.zeros_like(bias)
     return np.exp(out, out=out), np.exp(bias)
 
 
-def _log_probs(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Of each row's given column, log of its softmax."""
-    p, scale = _exponents(hidden, vectors, bias)
-    picked = p.reshape(-1).take(np.arange(0, p.size, len(vectors)) + column)
-    return np.log(picked * scale.take(column) / (p @ scale))
+def _log_share(p: np.ndarray, scale: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Of each row of exponents, log of the share that what was picked has in the sum of all, times ``scale``."""
+    return np.log(picked / (p @ scale))
 
 
 def class_log_probs(w: dict[str, np.ndarray], hidden: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    return _log_probs(hidden, w["c"], w["b"], kind)
+    """log P(class | hidden): the first of the two steps of ``log_probs`` by itself."""
+    p, scale = _exponents(hidden, w["c"], w["b"])
+    return _log_share(p, scale, p[np.arange(len(p)), kind] * scale[kind])
 
 
-def _by_class(vocabulary: Vocabulary, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Places where a class begins and ends, and which of the ids are of it, few enough to hold their logits."""
+def _by_class(vocabulary: Vocabulary, ids: np.ndarray, cells: int, others: int = 0) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """A class, the places where it begins and ends, and which of the ids are of it, few enough for their logits, and ``others`` beside
+    them, to be at most ``cells``."""
     kind = vocabulary.kind[ids].astype(np.int16)
     order = np.argsort(kind, kind="stable")
     cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
     for k in range(CLASSES):
         low, high = int(vocabulary.begin[k]), int(vocabulary.begin[k + 1])
-        step = max(1, _CELLS // max(high - low, 1))
+        step = max(1, cells // max(high - low + others, 1))
         for b in range(cut[k], cut[k + 1], step):
-            yield low, high, order[b : min(b + step, cut[k + 1])]
+            yield k, low, high, order[b : min(b + step, cut[k + 1])]
 
 
-def member_log_probs(w: dict[str, np.ndarray], vocabulary: Vocabulary, hidden: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """log P(id | its class, hidden)."""
+def _joined(w: dict[str, np.ndarray], vocabulary: Vocabulary) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each class, output vectors and biases of all classes followed by those of its ids."""
+    spans = zip(vocabulary.begin, vocabulary.begin[1:])
+    return [(np.concatenate([w["c"], w["o"][low:high]]), np.concatenate([w["b"], w["u"][low:high]])) for low, high in spans]
+
+
+def log_probs(joined: list[tuple[np.ndarray, np.ndarray]], vocabulary: Vocabulary, hidden: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """log P(id | hidden) of ids whose hidden vectors are the rows ``at``. Both softmaxes of an id come from one product."""
     out = np.zeros(len(ids), np.float32)
     place = vocabulary.place[ids]
-    for low, high, mine in _by_class(vocabulary, ids):
-        out[mine] = _log_probs(hidden.take(mine, axis=0), w["o"][low:high], w["u"][low:high], place[mine] - low)
+    for k, low, _, mine in _by_class(vocabulary, ids, NEAR_CELLS, CLASSES):
+        p, scale = _exponents(hidden.take(at[mine], axis=0), *joined[k])
+        column = place[mine] + (CLASSES - low)
+        picked = p.reshape(-1).take(np.arange(0, p.size, len(scale)) + column) * scale.take(column)
+        out[mine] = _log_share(p[:, :CLASSES], scale[:CLASSES], p[:, k] * scale[k]) + _log_share(p[:, CLASSES:], scale[CLASSES:], picked)
     return out
 
 
 def _hidden(w: dict[str, np.ndarray], inputs: np.ndarray, scored: np.ndarray) -> np.ndarray:
-    """Hidden vectors of the scored positions, window by window. What an earlier window scores is only looked back at."""
+    """Hidden vectors of all positions, of which those that an earlier window scores are only looked back at and have none."""
     out = np.empty((*inputs.shape, WIDTH), np.float32)
     for b in range(0, len(inputs), SCORE_BATCH):
-        out[b : b + SCORE_BATCH, _AGAIN:] = attend(w, inputs[b : b + SCORE_BATCH], _AGAIN_CUTS)[-1]
+        out[b : b + SCORE_BATCH, _AGAIN:] = attend(w, inputs[b : b + SCORE_BATCH], _AGAIN)[-1]
     first = np.flatnonzero(scored[:, 0])
     for b in range(0, len(first), SCORE_BATCH):
         mine = first[b : b + SCORE_BATCH]
-        out[mine, :_AGAIN] = attend(w, inputs[mine, :_AGAIN], (0, _AGAIN))[-1]
-    return out.reshape(-1, WIDTH).take(np.flatnonzero(scored), axis=0)
+        out[mine, :_AGAIN] = attend(w, inputs[mine, :_AGAIN])[-1]
+    return out.reshape(-1, WIDTH)
 
 
 def score(flat: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of log probabilities of each text's ids."""
     out = np.zeros(len(at) - 1)
     w = split(flat)
+    joined = _joined(w, vocabulary)
     for inputs, target, scored, text in blocks(vocabulary, ids, at):
-        hidden, words = _hidden(w, inputs, scored), target[scored]
-        kind = vocabulary.kind[words]
-        step = SCORE_BATCH * STRIDE
-        sums = np.concatenate([class_log_probs(w, hidden[b : b + step], kind[b : b + step]) for b in range(0, len(words), step)]) + member_log_probs(w, vocabulary, hidden, words)
+        sums = log_probs(joined, vocabulary, _hidden(w, inputs, scored), np.flatnonzero(scored), target[scored])
         low = text[0]
         add = np.bincount(np.repeat(text - low, scored.sum(axis=1)), sums)
         out[low : low + len(add)] += add
     return out
 
 
-def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, kind: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """Gradient of the mean class loss over the masked targets, that loss, and the hidden vectors."""
+def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, kind: np.ndarray, mask: np.ndarray, hidden: np.ndarray | None = None) -> tuple[np.ndarray, float | None, np.ndarray]:
+    """Gradient of the mean class loss over the masked targets, that loss, and the hidden vectors. Where an array is given for these they go
+    there, and the loss, which training doesn't need, is left out."""
     n = max(int(np.count_nonzero(mask)), 1)
     flat = np.zeros(SIZE, np.float32)
-    g, loss = split(flat), 0.0
-    hidden, dx = np.empty((*inputs.shape, WIDTH), np.float32), np.empty((*inputs.shape, WIDTH), np.float32)
+    g, loss, wanted = split(flat), 0.0, hidden is None
+    hidden, dx = np.empty((*inputs.shape, WIDTH), np.float32) if wanted else hidden, np.empty((*inputs.shape, WIDTH), np.float32)
     for b in range(0, len(inputs), PART):
         part = slice(b, b + PART)
-        loss += _part_gradient(w, g, inputs[part], kind[part].ravel(), mask[part].ravel(), n, hidden[part], dx[part])
-    cell = _ROW_CELLS.take(inputs.ravel(), axis=0)
-    g["e"][:] = np.bincount(cell.ravel(), dx.ravel(), _ROWS * WIDTH).reshape(_ROWS, WIDTH)
-    return flat, loss / n, hidden.reshape(-1, WIDTH)
+        loss += _part_gradient(w, g, inputs[part], kind[part].ravel(), mask[part].ravel(), n, hidden[part], dx[part], wanted)
+    np.add.at(g["e"].reshape(-1).view(np.complex64), _ROW_PAIRS.take(inputs.ravel(), axis=0).ravel(), dx.reshape(-1).view(np.complex64))
+    return flat, loss / n if wanted else None, hidden.reshape(-1, WIDTH)
 
 
-def _part_gradient(w: dict[str, np.ndarray], g: dict[str, np.ndarray], inputs: np.ndarray, k: np.ndarray, m: np.ndarray, n: int, hidden: np.ndarray, dx: np.ndarray) -> float:
-    """Adds a part of a batch of ``n`` targets to all of the gradient but the embedding's, whose rows' gradients go into ``dx``; its loss."""
+def _part_gradient(
+    w: dict[str, np.ndarray], g: dict[str, np.ndarray], inputs: np.ndarray, k: np.ndarray, m: np.ndarray, n: int, hidden: np.ndarray, dx: np.ndarray, wanted: bool
+) -> float:
+    """Adds a part of a batch of ``n`` targets to all of the gradient but the embedding's, whose rows' gradients go into ``dx``; its loss, where wanted."""
     flat = lambda a: a.reshape(-1, WIDTH)
-    x, keys, y, runs, z, hidden[:] = attend(w, inputs)
+    # Exponents above their logits' gradients, and above queries what the exponents meet: one product sums what keys get from both.
+    both, meets = np.empty((len(inputs), 2 * WINDOW, WINDOW), np.float32), np.empty((len(inputs), 2 * WINDOW, WIDTH), np.float32)
+    a, ds, d = both[:, :WINDOW], both[:, WINDOW:], meets[:, :WINDOW]
+    x, y, _, sums, z, _ = attend(w, inputs, 0, a, hidden)
     h2 = flat(hidden)
     p, scale = _exponents(h2, w["c"], w["b"])
     total = p @ scale
     cell = np.arange(0, p.size, CLASSES) + k
     flat_p = p.reshape(-1)
     whole = total / scale.take(k)
-    loss = -float(np.log(np.maximum(flat_p.take(cell) / whole, 1e-30))[m].sum())
+    loss = -float(np.log(np.maximum(flat_p.take(cell) / whole, 1e-30))[m].sum()) if wanted else 0.0
     flat_p[cell] -= whole
     # Times ``scale``, which the small matrices below take in, this is the gradient of the logits.
     p *= (m * np.float32(1 / n) / total)[:, None]
@@ -281,40 +293,41 @@ def _part_gradient(w: dict[str, np.ndarray], g: dict[str, np.ndarray], inputs: n
     dh = p @ (w["c"] * scale[:, None])
     g["v"] += flat(z).T @ dh
     dz = (dh @ w["v"].T).reshape(z.shape)
-    dy = np.empty_like(y)
-    by_distance = np.zeros((WINDOW, WINDOW))
-    dx[:] = dh.reshape(dx.shape)
-    for (a, total), low, high in zip(runs, _CUTS, _CUTS[1:]):
-        mine, seen = slice(low, high), x[:, :high]
-        # Weights are ``a / total``, and dividing what they meet is less work.
-        d = dz[:, mine] / total
-        # Sum over keys of weight times its gradient is the gradient times the attended vector.
-        shared = (flat(d * z[:, mine]) @ _ONES[:WIDTH]).reshape(total.shape)
-        dx[:, :high] += a.transpose(0, 2, 1) @ d
-        ds = d @ keys[:, :, :high]
-        ds -= shared
-        ds *= a
-        by_distance[mine, :high] = (_ONES[: len(ds)] @ ds.reshape(len(ds), -1)).reshape(ds.shape[1:])
-        dy[:, mine] = ds @ seen
-        dx[:, :high] += ds.transpose(0, 2, 1) @ y[:, mine]
-    g["r"] += np.bincount(_DISTANCE.ravel(), by_distance.ravel(), WINDOW)
-    g["m"] += flat(x).T @ flat(dy)
-    dx += (flat(dy) @ w["m"].T).reshape(dx.shape)
+    # Weights are ``a / sums``, and dividing what they meet is less work.
+    np.divide(dz, sums, out=d)
+    meets[:, WINDOW:] = y
+    np.matmul(d, x.transpose(0, 2, 1), out=ds)
+    # Sum over keys of weight times its gradient is the gradient times the attended vector.
+    ds -= (flat(d * z) @ _ONES[:WIDTH]).reshape(sums.shape)
+    ds *= a
+    np.matmul(both.transpose(0, 2, 1), meets, out=dx)
+    dy = flat(ds @ x)
+    by_distance = _ONES[: len(x)] @ both.reshape(len(x), -1)[:, WINDOW * WINDOW :]
+    g["r"] += np.bincount(_DISTANCE.ravel(), by_distance, WINDOW)
+    g["m"] += flat(x).T @ dy
+    dx += dh.reshape(dx.shape)
+    dx += (dy @ w["m"].T).reshape(dx.shape)
     return loss
 
 
-def _learn_members(w: dict[str, np.ndarray], power: dict[str, np.ndarray], vocabulary: Vocabulary, hidden: np.ndarray, ids: np.ndarray, rate: float) -> None:
-    """One Adagrad step of the softmax within every class that the ids have, on their mean loss."""
+def _learn_members(w: dict[str, np.ndarray], power: dict[str, np.ndarray], vocabulary: Vocabulary, hidden: np.ndarray, at: np.ndarray, ids: np.ndarray, rate: float) -> None:
+    """One Adagrad step of the softmax within every class that the ids have, on their mean loss; their hidden vectors are the rows ``at``."""
     place = vocabulary.place[ids]
-    for low, high, mine in _by_class(vocabulary, ids):
-        h = hidden.take(mine, axis=0)
-        p, scale = _exponents(h, w["o"][low:high], w["u"][low:high])
-        total = p @ scale
-        column = place[mine] - low
-        p.reshape(-1)[np.arange(0, p.size, high - low) + column] -= total / scale.take(column)
-        p *= (1 / total)[:, None]
-        scale /= len(mine)
-        for name, g in (("o", (p.T @ h) * scale[:, None]), ("u", (_ONES[: len(p)] @ p) * scale)):
+    for _, low, high, mine in _by_class(vocabulary, ids, _CELLS):
+        o, u = np.zeros((high - low, WIDTH), np.float32), np.zeros(high - low, np.float32)
+        step = max(256, NEAR_CELLS // (high - low))
+        for b in range(0, len(mine), step):
+            part = mine[b : b + step]
+            h = hidden.take(at[part], axis=0)
+            p, scale = _exponents(h, w["o"][low:high], w["u"][low:high])
+            total = p @ scale
+            column = place[part] - low
+            p.reshape(-1)[np.arange(0, p.size, high - low) + column] -= total / scale.take(column)
+            p *= (1 / total)[:, None]
+            scale /= len(mine)
+            o += (p.T @ h) * scale[:, None]
+            u += (_ONES[: len(p)] @ p) * scale
+        for name, g in (("o", o), ("u", u)):
             power[name][low:high] += g * g
             w[name][low:high] -= rate * g / (np.sqrt(power[name][low:high]) + 1e-5)
 
@@ -340,26 +353,26 @@ def train(flat: np.ndarray, vocabulary: Vocabulary, documents: Iterator[tuple[np
     first, second, step, seen = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0, 0
     power, scratch = {n: np.zeros_like(w[n]) for n in ("o", "u")}, np.empty(SIZE, np.float32)
     for inputs, target, mask in _filled(b for ids, at in documents if len(ids) for b in blocks(vocabulary, ids, at, WINDOW)):
-        kind = vocabulary.kind[target]
         order = np.random.default_rng(seen).permutation(len(inputs))
+        mixed, kind, told = inputs[order], vocabulary.kind[target[order]], mask[order]
         hidden = np.empty((*inputs.shape, WIDTH), np.float32)
         for b in range(0, len(order), BATCH):
-            part = order[b : b + BATCH]
-            g, _, h = gradient(w, inputs[part], kind[part], mask[part])
-            hidden[part] = h.reshape(len(part), WINDOW, WIDTH)
+            part = slice(b, b + BATCH)
+            g = gradient(w, mixed[part], kind[part], told[part], hidden[part])[0]
             step += 1
+            # Moments are kept at 10 and 100 times their size, which saves scaling what is added.
             first *= 0.9
-            first += np.multiply(g, 0.1, out=scratch)
+            first += g
             second *= 0.99
             g *= g
-            g *= 0.01
             second += g
             np.sqrt(second, out=scratch)
-            scratch += 1e-6 * (1 - 0.99**step) ** 0.5
+            scratch += 1e-5 * (1 - 0.99**step) ** 0.5
             np.divide(first, scratch, out=scratch)
             scratch *= rate * LEARNING_RATE * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
             own -= scratch
-        _learn_members(w, power, vocabulary, hidden.reshape(-1, WIDTH).take(np.flatnonzero(mask), axis=0), target[mask], rate * MEMBER_RATE)
+        at = (np.argsort(order)[:, None] * WINDOW + np.arange(WINDOW))[mask]
+        _learn_members(w, power, vocabulary, hidden.reshape(-1, WIDTH), at, target[mask], rate * MEMBER_RATE)
         seen += int(np.count_nonzero(mask))
     return flat, seen
 

@@ -76,8 +76,10 @@ class Encoder:
         unknown = np.flatnonzero(place < 0)
         if len(unknown):
             fresh, first, back = np.unique(hashes[unknown], return_index=True, return_inverse=True)
-            raw = w.data.tobytes()
-            ids = self.model.encode([raw[w.begin[i] : w.end[i]].decode("utf-8", "replace") for i in unknown[first]], num_threads=1)
+            raw, new = w.data.tobytes(), unknown[first]
+            # No word holds a line's end, so all are decoded at once.
+            text = b"\n".join([raw[a:b] for a, b in zip(w.begin[new].tolist(), w.end[new].tolist())]).decode("utf-8", "replace")
+            ids = self.model.encode(text.split("\n"), num_threads=1)
             length = np.fromiter(map(len, ids), np.int64, len(ids))
             where = len(self.at) - 1 + np.arange(len(ids))
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint16, int(length.sum()))])

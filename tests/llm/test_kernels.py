@@ -69,6 +69,15 @@ def test_subwords_with_a_crowded_memo(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[x for word in t.split() for x in e.model.encode(word)] for t in texts]
 
 
+def test_encoder_words_decoded_together():
+    """Words are decoded in one piece, and have the ids that each has by itself: also next to bytes that aren't UTF-8, and to other separators."""
+    words = ["cat".encode(), "naïve".encode(), b"\xe4\xb8", b"\xff\xfe", "中文".encode(), b"a\x85b", "x\u2028y\x1cz".encode(), b"\xf0\x9f", "\u2581".encode(), b"cat"]
+    e = subwords.Encoder(subwords.TOKENIZER)
+    raw = b"\n".join(words[:5]) + b" \t\r\n" + b" ".join(words[5:])
+    ids, at = e.encode(pa.array([raw], pa.binary()).view(pa.string()))
+    assert ids.tolist() == [x for word in words for x in e.model.encode(word.decode("utf-8", "replace"))] and at.tolist() == [0, len(ids)]
+
+
 # 1: language-model scores
 
 
@@ -146,6 +155,39 @@ def test_lm_gradient_in_parts(monkeypatch):
         assert lm_score.class_log_probs(w, got[0][2], kind.ravel()) == pytest.approx(want, rel=1e-3, abs=1e-3)
 
 
+def test_lm_gradient_of_each_weight():
+    """Every group of weights has the slope of the loss, with the loss left out as in training too."""
+    rng = np.random.default_rng(17)
+    v = lm_score.Vocabulary.of(rng.integers(0, 50, 5000))
+    flat = some_weights(v, rng)
+    inputs = rng.integers(0, 50, (5, lm_score.WINDOW)).astype(np.int32)
+    kind = rng.integers(0, lm_score.CLASSES, inputs.shape)
+    mask = rng.random(inputs.shape) < 0.8
+    hidden = np.empty((*inputs.shape, lm_score.WIDTH), np.float32)
+    g, none, same = lm_score.gradient(lm_score.split(flat), inputs, kind, mask, hidden)
+    whole = lm_score.gradient(lm_score.split(flat), inputs, kind, mask)
+    assert none is None and np.shares_memory(same, hidden) and np.array_equal(g, whole[0]) and np.array_equal(same, whole[2])
+    for _, _, a, b in lm_score._SPANS:
+        direction, step = np.zeros_like(flat), 1e-2
+        direction[a:b] = g[a:b] / np.linalg.norm(g[a:b])
+        up, down = (lm_score.gradient(lm_score.split(flat + s * step * direction), inputs, kind, mask)[1] for s in (1, -1))
+        assert (up - down) / (2 * step) == pytest.approx(np.linalg.norm(g[a:b]), rel=0.03)
+
+
+def test_lm_pieces_change_no_result(monkeypatch):
+    """Softmaxes within classes are taken in pieces of rows: weights and scores are those of whole ones."""
+    rng = np.random.default_rng(18)
+    v = lm_score.Vocabulary.of(rng.integers(0, 50, 5000))
+    ids = rng.integers(0, 5000, 40_000).astype(np.uint16)
+    at, got = np.array([0, 7, 7, 30_000, len(ids)]), []
+    for cells in (1 << 30, 1 << 8):
+        monkeypatch.setattr(lm_score, "NEAR_CELLS", cells)
+        flat, seen = lm_score.train(some_weights(v, np.random.default_rng(19)), v, iter([(ids, at)]))
+        got.append((flat, lm_score.score(flat, v, ids, at)))
+        assert seen == len(ids)
+    assert np.allclose(got[0][0], got[1][0], atol=1e-4) and got[1][1] == pytest.approx(got[0][1], rel=1e-5)
+
+
 def test_lm_learns_within_classes():
     """Two ids of one class, told apart by the id before them."""
     v = lm_score.Vocabulary.of(np.array([100, 100, 100, 100] + [1] * 60))
