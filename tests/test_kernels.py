@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexigrain.functions import addresses as A
-from lexigrain.functions import misc, urls
+from lexigrain.functions import ids, misc, urls
 from lexigrain.functions import names as NF
 from lexigrain.functions import text as T
 from lexigrain.kernels import addresses, bags, distance, names, normal, org_types, pairs, unicode
@@ -321,3 +321,9 @@ def test_plain_python_regex_of_emoji(spark):
     df = spark.createDataFrame([("a😀⬛b",), ("→x",)], "s string")
     assert [r[0] for r in df.select(T.remove_emoji("s")).collect()] == ["ab", "x"]
     assert re.sub("x", "", "x") == "" and F is not None
+
+
+def test_imo_format_of_zeros(spark):
+    """What is no valid number gets the prefix, too, once."""
+    rows = spark.createDataFrame([("0000000",), ("imo 0000000",), (" 9126819 ",), ("IMO 9126819",), (None,)], "x string")
+    assert [r[0] for r in rows.select(ids.get_identifier_format("imo").format("x")).collect()] == ["IMO0000000", "IMO0000000", "IMO9126819", "IMO9126819", None]
