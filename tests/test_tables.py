@@ -76,3 +76,10 @@ def test_pages_of_one_address(spark, tmp_path):
     want = c.execute(f"SELECT page_id, url_key FROM ({tables.SQL['url_compare_keys']})").fetchall()
     got = sorted((r.page_id, r.url_key) for r in tables.QUERIES["url_compare_keys"](spark, str(tmp_path)).collect())
     assert got == sorted(want) and len(got) == 7
+
+
+@pytest.mark.parametrize("name", ["text_is_stopword", "text_is_nullword", "text_is_nullplace"])
+def test_word_lists_are_constants(spark, name):
+    """No word of a list is normalized row by row: a plan's list holds literals only."""
+    plan = derived.CASES[name].query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert " INSET " in plan and plan.count("foldCase") < 2
