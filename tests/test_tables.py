@@ -78,7 +78,7 @@ def test_pages_of_one_address(spark, tmp_path):
     assert got == sorted(want) and len(got) == 7
 
 
-@pytest.mark.parametrize("name", ["text_is_stopword", "text_is_nullword", "text_is_nullplace"])
+@pytest.mark.parametrize("name", ["text_is_stopword", "name_is_stopword", "text_is_nullword", "name_is_nullword", "text_is_nullplace", "name_is_generic_person"])
 def test_word_lists_are_constants(spark, name):
     """No word of a list is normalized row by row: a plan's list holds literals only."""
     plan = derived.CASES[name].query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
