@@ -67,19 +67,22 @@ def drop_subsets(mapping: DataFrame) -> DataFrame:
     """Groups without those whose forms another has all; of equal groups the last stays.
 
     A group can only lie within groups that have its rarest form, so only these are looked at: a form that very many
-    groups share makes no square of them.
+    groups share makes no square of them, and a group with a form of its own isn't looked at further.
     """
-    rows = mapping.where("not skip").select("group", "form").distinct()
+    # Tasks are of a number, and no side is broadcast: a task would hold several tables as large as the corpus.
+    tasks = 4 * mapping.sparkSession.sparkContext.defaultParallelism
+    rows = mapping.where("not skip").select("group", "form").repartition(tasks, "group").distinct()
+    by_form = rows.repartition(tasks, "form")
     sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
-    spread = rows.groupBy("form").agg(F.count("*").alias("groups"))
-    rarest = rows.join(spread, "form").groupBy("group").agg(F.min_by("form", F.struct("groups", "form")).alias("form"))
-    larger = rows.join(sizes, "group").select(F.col("group").alias("b"), "form", F.col("n").alias("n_b"))
-    smaller = rarest.join(sizes, "group").select(F.col("group").alias("a"), "form", F.col("n").alias("n_a"))
-    maybe = smaller.join(larger, "form").where("a <> b and (n_a < n_b or (n_a = n_b and a < b))").select("a", "b", "n_a")
-    wanted = maybe.join(rows.select(F.col("group").alias("a"), "form"), "a")
-    common = wanted.join(rows.select(F.col("group").alias("b"), "form"), ["b", "form"]).groupBy("a", "b", "n_a").agg(F.count("*").alias("common"))
+    spread = by_form.groupBy("form").agg(F.count("*").alias("groups"))
+    rarest = by_form.join(spread.hint("merge"), "form").groupBy("group").agg(F.min(F.struct("groups", "form")).alias("x"), F.count("*").alias("n_a"))
+    smaller = rarest.where("x.groups > 1").select(F.col("group").alias("a"), "x.form", "n_a")
+    maybe = smaller.join(by_form.select(F.col("group").alias("b"), "form").hint("merge"), "form").where("a <> b").select("a", "b", "n_a")
+    maybe = maybe.join(sizes.select(F.col("group").alias("b"), F.col("n").alias("n_b")).hint("merge"), "b").where("n_a < n_b or (n_a = n_b and a < b)").select("a", "b", "n_a")
+    wanted = maybe.join(rows.select(F.col("group").alias("a"), "form").hint("merge"), "a")
+    common = wanted.join(rows.select(F.col("group").alias("b"), "form").hint("merge"), ["b", "form"]).groupBy("a", "b", "n_a").agg(F.count("*").alias("common"))
     inside = common.where("common = n_a").select(F.col("a").alias("group")).distinct()
-    return rows.join(inside, "group", "left_anti")
+    return rows.join(inside.hint("merge"), "group", "left_anti")
 
 
 def bridged(forms: ColumnLike) -> Column:

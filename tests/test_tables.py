@@ -5,6 +5,9 @@ import datetime
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from lexigrain.operators import corpus
 from lexigrain.plans import derived, tables
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +86,12 @@ def test_word_lists_are_constants(spark, name):
     """No word of a list is normalized row by row: a plan's list holds literals only."""
     plan = derived.CASES[name].query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert " INSET " in plan and plan.count("foldCase") < 2
+
+
+def test_subsets_without_broadcast(spark, tmp_path):
+    """No task holds a table as large as the corpus; groups with forms of their own are no subsets."""
+    rows = [("a", "x"), ("a", "y"), ("b", "x"), ("c", "x"), ("c", "y"), ("d", "x"), ("d", "z"), ("e", "y"), ("e", "w")]
+    spark.createDataFrame(rows, "group string, form string").write.parquet(str(tmp_path / "forms"))
+    kept = corpus.drop_subsets(spark.read.parquet(str(tmp_path / "forms")).withColumn("skip", F.lit(False)))
+    assert sorted(map(tuple, kept.select("group", "form").collect())) == [("c", "x"), ("c", "y"), ("d", "x"), ("d", "z"), ("e", "w"), ("e", "y")]
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
